@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .mixing import mix
+from .quality import ORACLE as QUALITY_SQL
+from .quality import score
 from .shared import table
 from .sharding import assign_shards
 
@@ -19,5 +22,16 @@ def op2_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_sum_shards, op2_weighted_mix)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = (table(spark, sf_dir, n) for n in ("documents", "benchmark"))
+    out = contamination(docs.select("doc_id", "text"), bench, window=10, into="c")
+    return out.select("doc_id", "c.n_words", "c.n_hit", "c.n_items", F.sha2(F.concat_ws(",", "c.items").cast("binary"), 256).alias("items_sha256"), (F.col("c.n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_prefix_sum_shards, op2_weighted_mix, op4_quality_rules, op5_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": QUALITY_SQL}
