@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, licences, rules
 from .decontaminate import contamination
 from .mixing import mix
 from .quality import ORACLE as QUALITY_SQL
@@ -33,5 +34,36 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "c.n_words", "c.n_hit", "c.n_items", F.sha2(F.concat_ws(",", "c.items").cast("binary"), 256).alias("items_sha256"), (F.col("c.n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_sum_shards, op2_weighted_mix, op4_quality_rules, op5_decontamination)}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.fold("doc_id", 3) == 1
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    c = F.col("licences")
+    return out.select("doc_id", c["n_words"].alias("n_words"), c["n_base"].alias("n_base"), c["first_word"].alias("first_word"), c["last_word"].alias("last_word"), F.concat_ws(",", c["base_labels"]).alias("base_labels"), F.concat_ws(",", c["labels"]).alias("labels"), c["score"].alias("score"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
+    held_out = langid.fold("doc_id", 4) == 2
+    model = rules.train(docs, labels.where(~held_out), label="quality")
+    return rules.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, at=0.7).drop("text")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_prefix_sum_shards,
+        op2_weighted_mix,
+        op4_quality_rules,
+        op5_decontamination,
+        op7_language_id,
+        op8_licence_scan,
+        op9_quality_classifier,
+    )
+}
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": QUALITY_SQL}
