@@ -13,6 +13,7 @@ import pyarrow as pa
 
 CHUNK = 4 << 20
 U = np.uint64
+BASE = 0x9E3779B97F4A7C15  # odd
 
 #: Bytes that separate words: [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
@@ -26,11 +27,13 @@ LOWER[0x41:0x5B] += 0x20
 _POWERS = np.ones(1, U)
 
 
-def powers(n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown when needed."""
+def powers(n: int) -> np.ndarray:
+    """BASE**0 .. BASE**(n-1) modulo 2**64; grown when needed."""
     global _POWERS
     if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.concatenate([[1], np.full(max(n, 1 << 12), base, U)]).astype(U), dtype=U)
+        steps = np.full(max(n, 1 << 12), BASE, U)  # mixing in a Python integer would go through floats
+        steps[0] = 1
+        _POWERS = np.cumprod(steps, dtype=U)
     return _POWERS[:n]
 
 
@@ -89,15 +92,17 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        if not len(self):
-            return np.zeros(0, U)
-        size = self.ends - self.starts
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        within = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(begin, size)
-        take = self.data[within + np.repeat(self.starts, size)].astype(U) + U(1)
-        take *= powers(int(size.max()))[within]
-        return mix(np.add.reduceat(take, begin) + size.astype(U))
+        """A 64-bit hash of each word's bytes; a few hundred thousand words at a time, to bound memory."""
+        out = np.empty(len(self), U)
+        for lo in range(0, len(self), 1 << 18):
+            starts = self.starts[lo : lo + (1 << 18)]
+            size = self.ends[lo : lo + (1 << 18)] - starts
+            begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+            within = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(begin, size)
+            take = self.data[within + np.repeat(starts, size)].astype(U) + U(1)
+            take *= powers(int(size.max()))[within]
+            out[lo : lo + (1 << 18)] = mix(np.add.reduceat(take, begin) + size.astype(U))
+        return out
 
     def left(self) -> np.ndarray:
         """For each word, the number of words from it to the end of its row, itself included."""
@@ -122,24 +127,22 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
-def minimizers(g: np.ndarray, owner: np.ndarray, span: int) -> np.ndarray:
-    """Sorted positions that are the first smallest of some run of span values inside one row.
+def minimizers(g: np.ndarray, span: int) -> np.ndarray:
+    """For each run of span values, the position of its smallest, the leftmost of equals: len(g) - span + 1 of them.
 
-    owner: the row of each value, ascending. Whatever holds the same run of values chooses the same position in it.
+    Whatever holds the same run of values chooses the same place in it.
     """
     n = len(g)
     if n < span:
         return np.zeros(0, np.int64)
-    bits = max(24, int(n + span).bit_length())
+    bits = max(20, int(n + span).bit_length())
     key = (g >> U(bits)) << U(bits)
     pad = (-n) % span
     key = np.concatenate([key, np.full(pad, U(0xFFFFFFFFFFFFFFFF), U)]) if pad else key
-    key |= np.arange(n + pad).astype(U)  # ties: the leftmost
+    key |= np.arange(n + pad).astype(U)
     blocks = key.reshape(-1, span)
     ahead = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)  # from i to its block's end
     back = np.minimum.accumulate(blocks, axis=1).reshape(-1)  # from its block's start to i
     best = np.minimum(ahead[: n - span + 1], back[span - 1 : n])
-    best = best[owner[: n - span + 1] == owner[span - 1 : n]] & U((1 << bits) - 1)
-    chosen = np.zeros(n, bool)
-    chosen[best.astype(np.int64)] = True
-    return np.flatnonzero(chosen)
+    best &= U((1 << bits) - 1)
+    return best.astype(np.int64)

@@ -12,6 +12,8 @@ from .quality import ORACLE as QUALITY_SQL
 from .quality import score
 from .shared import table
 from .sharding import assign_shards
+from .substrings import dedup_words
+from .suffixdedup import dedup_bytes
 
 
 def op1_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +36,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "c.n_words", "c.n_hit", "c.n_items", F.sha2(F.concat_ws(",", "c.items").cast("binary"), 256).alias("items_sha256"), (F.col("c.n_hit") > 0).alias("contaminated"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), width=200)
+    return out.select("doc_id", F.col("dedup.n_units").alias("n_bytes"), "dedup.n_removed", "dedup.n_spans", F.sha2("dedup.kept", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid.fold("doc_id", 3) == 1
@@ -54,6 +61,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, at=0.7).drop("text")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_words(table(spark, sf_dir, "documents").select("doc_id", "text"), width=35)
+    return out.select("doc_id", F.col("dedup.n_units").alias("n_words"), "dedup.n_removed", F.sha2("dedup.kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,9 +73,11 @@ QUERIES = {
         op2_weighted_mix,
         op4_quality_rules,
         op5_decontamination,
+        op6_suffix_array_dedup,
         op7_language_id,
         op8_licence_scan,
         op9_quality_classifier,
+        op10_substring_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": QUALITY_SQL}
