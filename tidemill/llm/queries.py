@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import langid, licences, rules
 from .decontaminate import contamination
 from .mixing import mix
+from .neardup import near_duplicates
 from .quality import ORACLE as QUALITY_SQL
 from .quality import score
 from .shared import table
@@ -25,6 +26,10 @@ def op2_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -71,6 +76,7 @@ QUERIES = {
     for f in (
         op1_prefix_sum_shards,
         op2_weighted_mix,
+        op3_minhash_near_dedup,
         op4_quality_rules,
         op5_decontamination,
         op6_suffix_array_dedup,
