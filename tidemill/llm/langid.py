@@ -159,7 +159,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: tuple[
     check = np.flatnonzero(held) if held.any() else np.arange(len(y))
     logits = np.stack([data[i][1] @ w[data[i][0]] for i in check])
     grid = np.geomspace(0.05, 20, 120)
-    loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in grid]
+    truth = np.eye(len(langs))[y[check]]
+    truth = (truth * len(check) + 1 / len(langs)) / (len(check) + 1)  # one pseudo-count: without an error held back, the temperature stays finite
+    loss = [-(truth * np.log(np.maximum(_softmax(logits / t), 1e-12))).sum(axis=1).mean() for t in grid]
     return Model(langs, w[:D] * (idf * scale)[:, None], w[D], float(grid[int(np.argmin(loss))]))
 
 
@@ -200,3 +202,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the text without characters."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def accept(docs: DataFrame, model: Model | None, least: float = 0.4, text: str = "text") -> DataFrame:
+    """docs whose language is one of the model's, with a score of `least` or more; columns as they were."""
+    into = ("_lang_pred", "_lang_score")
+    return predict(docs, model, text, into).where((F.col(into[0]) != "und") & (F.col(into[1]) >= least)).select(*docs.columns)

@@ -71,3 +71,13 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple = (3, 1, 2), share: floa
         .withColumn("copies", (epochs + more.cast("long")).cast("long"))
         .select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "row_key")
     )
+
+
+def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as mix() takes it; columns as they were. Equal rows share what they are taken."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    taken = mix(docs, text=text, doc_id=doc_id, source=source, **how).groupBy("source", "row_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    taken = taken.select(F.col("source").alias("_source"), F.col("row_key").alias("_key"), "_copies")
+    keyed = docs.withColumn("_row_key", F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), t, F.col(text).isNull())).dropDuplicates([source, "_row_key"])
+    found = keyed.join(taken, (F.col("_row_key") == F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")))
+    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).drop("_copy")
