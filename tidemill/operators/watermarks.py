@@ -33,7 +33,7 @@ def trace(df: DataFrame, interval: int = 1, rn: str = "rn") -> DataFrame:
     if interval <= 1:
         return moved
 
-    def greedy(table: pa.Table) -> pa.Table:
+    def greedy(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by(rn)
         values, keep = table["wm"].to_pylist(), []
         for i, wm in enumerate(values):
@@ -43,7 +43,7 @@ def trace(df: DataFrame, interval: int = 1, rn: str = "rn") -> DataFrame:
             keep.append(len(values) - 1)
         return table.take(pa.array(keep, pa.int64())).select([rn, "wm"])
 
-    return moved.groupBy(F.lit(0)).applyInArrow(greedy, moved.schema)
+    return moved.groupBy(F.lit("all")).applyInArrow(greedy, moved.schema)
 
 
 def late(df: DataFrame) -> Column:
