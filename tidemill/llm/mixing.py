@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def quality_weight(text: Column) -> Column:
     """From 0.05 to 1, falling with the share of symbols in the text."""
     symbols = F.regexp_count(text, F.lit(r"[#*$%&|<>]"))
-    return F.greatest(F.lit(0.05), F.coalesce(1 - 10 * symbols / F.char_length(text), F.lit(0.05)))
+    return F.greatest(F.lit(0.05), F.coalesce(1 - 10 * symbols / F.greatest(F.char_length(text), F.lit(1)), F.lit(0.05)))
 
 
 def targets(sizes: dict, weights: tuple = (3, 1, 2), share: float = 1.5, limit: float = 2.0) -> dict:
