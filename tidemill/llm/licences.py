@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import opaque
+
 #: Runs of characters that are no words, before A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,8 +47,8 @@ def _lower(words: Column) -> Column:
 def _starts(words: Column, phrase: list[str]) -> Column:
     """Word positions at which the phrase's words stand consecutively."""
     fits = lambda w, i: F.when(w == phrase[0], _all(F.coalesce(F.get(words, i + k) == p, F.lit(False)) for k, p in enumerate(phrase))).otherwise(False)
-    at = F.transform(words, lambda w, i: F.when(fits(w, i), i))
-    return F.filter(at, lambda i: i.isNotNull())
+    at = F.filter(F.transform(words, lambda w, i: F.when(fits(w, i), i)), lambda i: i.isNotNull())
+    return F.when(_all(F.array_contains(words, p) for p in dict.fromkeys(phrase)), at).otherwise(F.array().cast("array<int>"))
 
 
 def _all(conditions) -> Column:
@@ -87,23 +89,17 @@ def scan(docs: DataFrame, text: str = "text", rarest: int = 3, per_file: int = 8
     needed = {t: sum(t == x for _, _, ps in idx for x, _ in ps) for t in range(len(templates))}
     keep = [c for c in docs.columns if c != "licences"]
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.struct(*keep).alias("_row"), _words(t).alias("_w"), F.lower(t).alias("_l"))
-    has = lambda words: _all(F.col("_l").contains(w) for w in words)  # noqa: E731  no word of the phrases or the index has a letter that lower() makes from one outside A-Z but k, from the Kelvin sign, which only adds texts here
-    maybe = F.lit(False)
-    for words in [p.split() for p in phrases] + [[w for w, _, ps in idx if any(x == k for x, _ in ps)][:1] for k in needed]:
-        maybe = maybe | has(words)
-    for k in needed:
-        for w, _, ps in idx:
-            if any(x == k for x, _ in ps):
-                maybe = maybe | has([w])
-    rows = rows.select("_row", F.size("_w").alias("_n"), F.when(maybe, _lower(F.col("_w"))).otherwise(F.array().cast("array<string>")).alias("_w"))
-    # base phrases
-    rows = rows.select("*", *[_starts(F.col("_w"), p.split()).alias(f"_b{i}") for i, p in enumerate(phrases)], _votes(idx, per_file).alias("_votes"))
-    # (template, place) with the votes for it
-    grouped = F.transform(F.array_distinct("_votes"), lambda v: F.struct(v["t"].alias("t"), v["s"].alias("s"), (F.size(F.filter("_votes", lambda x: (x["t"] == v["t"]) & (x["s"] == v["s"]))) / F.get(F.array(*[F.lit(float(max(1, needed[k]))) for k in needed]), v["t"])).alias("share")))
-    rows = rows.withColumn("_places", F.filter(grouped, lambda v: v["share"] >= least))
+    rows = docs.select(F.struct(*keep).alias("_row"), _lower(_words(t)).alias("_w"))
+    # every array that a lambda reads is a column first: inside the lambda it would be computed once for each element
+    rows = rows.select("*", F.size("_w").alias("_n"), F.slice(F.array_intersect(F.array(*[F.lit(w) for w, _, _ in idx]).cast("array<string>"), F.col("_w")), 1, per_file).alias("_own"))  # array_intersect keeps the index's order: rarest first
+    near = F.filter(F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("_own", x["w"]))
+    none = F.array().cast("array<struct<w:string,i:int>>")
+    rows = rows.select("*", *[_starts(F.col("_w"), p.split()).alias(f"_b{i}") for i, p in enumerate(phrases)], F.when(F.size("_own") > 0, near).otherwise(none).alias("_near"))
+    rows = rows.withColumn("_votes", F.array_distinct(_votes(idx)))
+    # the share of a template's indexed positions that agree on a place
+    rows = rows.withColumn("_places", F.filter(F.transform("_votes", lambda v: F.struct(v["t"].alias("t"), v["s"].alias("s"), _share(v, idx, needed).alias("share"))), lambda v: v["share"] >= least))
     verified = F.filter("_places", lambda v: _verify(v, templates))
-    rows = rows.withColumn("_found", verified)
+    rows = rows.withColumn("_found", opaque(verified))
     label = F.array(*[F.lit(x) for x, _, _ in templates])
     base = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(f"_b{i}") > 0, F.lit(x)) for i, x in enumerate(phrases.values())]), lambda x: x.isNotNull())))
     places = F.concat(*[F.col(f"_b{i}") for i in range(len(phrases))])
@@ -122,15 +118,25 @@ def scan(docs: DataFrame, text: str = "text", rarest: int = 3, per_file: int = 8
     )
 
 
-def _votes(idx: list, per_file: int) -> Column:
-    """(template, start) for each occurrence of the file's per_file rarest indexed words."""
+def _votes(idx: list) -> Column:
+    """(template, start) for each occurrence of the file's rarest indexed words."""
     if not idx:
         return F.array().cast("array<struct<t:int,s:int>>")
-    words = F.array(*[F.lit(w) for w, _, _ in idx])  # rarest first, and array_intersect keeps that order
-    own = F.slice(F.array_intersect(words, F.col("_w")), 1, per_file)
     entries = F.create_map(*[x for w, _, ps in idx for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]))])
-    near = F.filter(F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(own, x["w"]))
-    return F.flatten(F.transform(near, lambda x: F.transform(entries[x["w"]], lambda e: F.struct(e["t"].alias("t"), (x["i"] - e["p"]).alias("s")))))
+    return F.flatten(F.transform("_near", lambda x: F.transform(entries[x["w"]], lambda e: F.struct(e["t"].alias("t"), (x["i"] - e["p"]).alias("s")))))
+
+
+def _share(v: Column, idx: list, needed: dict[int, int]) -> Column:
+    """How many of the template's indexed positions hold their word if the template starts there, of all: the postings that meet at this place."""
+    out = F.lit(0.0)
+    for k, n in needed.items():
+        agree = F.lit(0)
+        for w, _, ps in idx:
+            for x, p in ps:
+                if x == k:
+                    agree = agree + F.when(F.array_contains("_own", w) & (F.get(F.col("_w"), v["s"] + p) == w), 1).otherwise(0)
+        out = F.when(v["t"] == k, agree / max(1, n)).otherwise(out)
+    return out
 
 
 def _verify(v: Column, templates: tuple) -> Column:

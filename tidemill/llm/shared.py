@@ -50,6 +50,15 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def opaque(col):
+    """The same column, but not to be computed again inside conditions or lambdas further up.
+
+    The optimizer moves a condition below a projection by putting the column's expression in its place; for arrays that lambdas read that means once for each element. It
+    does not do so with what is not a function of the row. (It sees through conditions on rand().)
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, col)
+
+
 def row_key(df: DataFrame, *cols: str):
     """A 64-bit key of a row's content. Repeated rows share it, by design: callers keep their multiplicity."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols])
