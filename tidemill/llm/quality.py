@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import opaque
+
 SPACES = r"[\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 NO_SPACE = r"[^\x20\x09-\x0D]"
@@ -53,7 +55,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     stage = stage.withColumn("n_words", F.size("_words"))
     stage = stage.withColumn("_spans", _repeat_words(F.col("_words"), F.col("n_words")))
     same = lambda x, k: F.coalesce(F.get(F.col("_spans"), k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(F.col("_spans"), k + 1)["h"] == x["h"], F.lit(False))
-    stage = stage.withColumn("_twice", F.sort_array(F.transform(F.filter("_spans", same), lambda x: x["i"])))
+    stage = stage.withColumn("_twice", opaque(F.sort_array(F.transform(F.filter("_spans", same), lambda x: x["i"]))))
     covered = F.aggregate(F.transform("_twice", lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col("_twice"), k + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
     return stage.select(
         *old,
@@ -62,7 +64,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
+        opaque(covered.cast("long")).alias("n_repeat_words"),
         F.size(F.filter("_words", lambda w: F.lower(F.rtrim(w, F.lit(".,!?"))).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.regexp_count(t, F.lit("[A-Z]")).cast("long").alias("n_upper"),
     )

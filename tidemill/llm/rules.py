@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import statistics
+from .shared import opaque
 
 #: feature: expression over quality.statistics()
 FEATURES = {
@@ -47,7 +48,7 @@ class Ensemble:
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """statistics() with a column _f_<name> for each feature."""
-    return statistics(docs, text).select("*", *[F.expr(e).alias(f"_f_{n}") for n, e in FEATURES.items()])
+    return statistics(docs, text).select("*", *[opaque(F.expr(e)).alias(f"_f_{n}") for n, e in FEATURES.items()])
 
 
 def _tree(x: np.ndarray, r: np.ndarray, rows: np.ndarray, cuts: list[np.ndarray], depth: int, least: int, path: Rule, names: list[str], out: list[Rule], fit: np.ndarray) -> None:
