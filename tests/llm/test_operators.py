@@ -280,6 +280,17 @@ def test_licence_places_and_labels(spark):
     assert licences.scan(empty(spark)).count() == 0
 
 
+def test_all_notices_of_one_text_are_found(spark):
+    notices = [notice for _, notice, _ in licences.TEMPLATES]
+    texts = [" . filler . ".join(notices), " . filler . ".join(reversed(notices)), *notices, *[" ".join(notices[i : i + 4]) for i in range(5)]]
+    want = [{label for label, notice, _ in licences.TEMPLATES if notice in t} for t in texts]
+    for also in ([], ["permission mozilla redistribution gnu"] * 30):  # whatever words are the rarest
+        docs = spark.createDataFrame(list(enumerate(texts + also)), "doc_id bigint, text string")
+        got = {r.doc_id: r.licences for r in licences.scan(docs).collect()}
+        assert all(w <= set(got[i].labels) for i, w in enumerate(want))
+        assert set(got[0].labels) == set(got[1].labels) == want[0] == {label for label, _, _ in licences.TEMPLATES}
+
+
 # --- quality classifier ---
 
 

@@ -1,7 +1,7 @@
 """Licence scans by a positional rare-token index, in DataFrame expressions only.
 
 Templates are short notices. Document frequencies of their words are counted over all documents; each template is indexed by
-its rarest words, each with its positions in the template. For a file, the rarest of its indexed words are looked up; every
+its rarest words, each with its positions in the template. For a file, all of its indexed words are looked up; every
 occurrence votes for (template, place where the template would start); places with enough votes are verified by the template's
 mandatory key phrase, word by word. The index is a fixed set of literals, so there is no join and no shuffle besides the one that counts
 frequencies (one row a licence word).
@@ -78,7 +78,7 @@ def index(n: int, df: dict[str, int], rarest: int = 3, templates: tuple = TEMPLA
     return sorted(((w, idf[w], p) for w, p in postings.items()), key=lambda x: (-x[1], x[0]))
 
 
-def scan(docs: DataFrame, text: str = "text", rarest: int = 3, per_file: int = 8, least: float = 0.6, templates: tuple = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", rarest: int = 3, least: float = 0.6, templates: tuple = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """docs with the struct `licences`: n_words, n_base, first_word, last_word, base_labels, labels (sorted arrays), score.
 
     least: the share of a template's indexed positions that must agree on one place. score is the best verified share, 1 where a
@@ -91,7 +91,7 @@ def scan(docs: DataFrame, text: str = "text", rarest: int = 3, per_file: int = 8
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.struct(*keep).alias("_row"), _lower(_words(t)).alias("_w"))
     # every array that a lambda reads is a column first: inside the lambda it would be computed once for each element
-    rows = rows.select("*", F.size("_w").alias("_n"), F.slice(F.array_intersect(F.array(*[F.lit(w) for w, _, _ in idx]).cast("array<string>"), F.col("_w")), 1, per_file).alias("_own"))  # array_intersect keeps the index's order: rarest first
+    rows = rows.select("*", F.size("_w").alias("_n"), F.array_intersect(F.array(*[F.lit(w) for w, _, _ in idx]).cast("array<string>"), F.col("_w")).alias("_own"))
     near = F.filter(F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("_own", x["w"]))
     none = F.array().cast("array<struct<w:string,i:int>>")
     rows = rows.select("*", *[_starts(F.col("_w"), p.split()).alias(f"_b{i}") for i, p in enumerate(phrases)], F.when(F.size("_own") > 0, near).otherwise(none).alias("_near"))
@@ -119,7 +119,7 @@ def scan(docs: DataFrame, text: str = "text", rarest: int = 3, per_file: int = 8
 
 
 def _votes(idx: list) -> Column:
-    """(template, start) for each occurrence of the file's rarest indexed words."""
+    """(template, start) for each occurrence of the file's indexed words."""
     if not idx:
         return F.array().cast("array<struct<t:int,s:int>>")
     entries = F.create_map(*[x for w, _, ps in idx for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]))])
@@ -134,7 +134,7 @@ def _share(v: Column, idx: list, needed: dict[int, int]) -> Column:
         for w, _, ps in idx:
             for x, p in ps:
                 if x == k:
-                    agree = agree + F.when(F.array_contains("_own", w) & (F.get(F.col("_w"), v["s"] + p) == w), 1).otherwise(0)
+                    agree = agree + F.when(F.get(F.col("_w"), v["s"] + p) == w, 1).otherwise(0)
         out = F.when(v["t"] == k, agree / max(1, n)).otherwise(out)
     return out
 
