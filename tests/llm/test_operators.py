@@ -143,6 +143,19 @@ def test_one_document_of_each_group_stays(spark):
     assert drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_null_and_shared_ids_drop_no_unrelated_document(spark):
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcdef")
+    rows = [(None, a), (None, b), (None, c + " more"), (7, c), (8, c), (9, d), (9, e), (9, e), (None, f), (None, f + " more"), (None, f), (None, ""), (None, None), (3, " "), (3, " ")]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id bigint, text string, n int")
+    for table in (docs, docs.repartition(3)):
+        kept = Counter((r.doc_id, r.text) for r in drop_near_duplicates(table).collect())
+        of_f = [x for x in kept.elements() if (x[1] or "").startswith("f0 ")]
+        assert len(of_f) == 1 and of_f[0] in rows
+        assert kept - Counter(of_f) == Counter([(None, a), (None, b), (7, c), (9, d), (9, e), (None, ""), (None, None), (3, " ")])
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect() if r.n_shingles)
+    assert got == Counter({(None, None, True): 5, (None, 7, False): 1, (7, 7, True): 1, (8, 7, False): 1, (9, 9, True): 3})
+
+
 # --- quality ---
 
 

@@ -179,6 +179,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int =
     A null text, or one without words, has no shingles and is linked with nothing; equal rows belong to one component and, sharing the smallest
     id, are all marked kept (drop_near_duplicates keeps one); a null doc_id counts only where its component has no other. Other columns are not read.
     """
+    return _components_of(docs, percent, width, k, crowd, text, doc_id).select("doc_id", "k", "n_shingles", "component_id", "kept")
+
+
+def _components_of(docs: DataFrame, percent: int = 85, width: int = 5, k: int = 32, crowd: int = 4096, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """near_duplicates with the component's root, a class; null without shingles."""
     spark = docs.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("k"), t.alias("text"))
@@ -204,20 +209,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int =
     links = materialize(shipped.groupBy("bucket").applyInArrow(_verified(percent), "u long, v long"), "links")
     roots = components(links)
     low = classes.join(roots.withColumnRenamed("u", "class"), "class", "left").select("class", "low", F.coalesce("root", "class").alias("root"))
-    low = low.join(low.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("class", "component_id")
-    out = rows.join(low, "class", "left").select(F.col("row").alias("doc_id"), "k", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("row")).alias("component_id"))
-    out = materialize(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near")
+    low = low.join(low.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("class", "component_id", "root")
+    out = rows.join(low, "class", "left").select(F.col("row").alias("doc_id"), "k", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("row")).alias("component_id"), "root")
+    out = materialize(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near")
     discard(rows, classes, sizes, groups, links)
     return out
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """docs with one document of each group: that with the smallest id, and one row of it where rows repeat. Documents without words all stay; columns as they were."""
-    near = near_duplicates(docs, text=text, doc_id=doc_id, **how).where("kept").select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "n_shingles")
-    full = near.where("n_shingles > 0").groupBy("_id").agg(F.min("_k").alias("_k"))
-    empty = near.where("n_shingles = 0").select("_id", "_k").distinct()
-    keep = full.unionByName(empty)
-    names = docs.columns
-    tagged = docs.withColumn("_k", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    found = tagged.join(keep.withColumnRenamed("_k", "_k2"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_k2")), "left_semi")
-    return found.dropDuplicates([doc_id, "_k"]).select(*names)
+    """docs with one document of each group: that with the smallest id (a null one comes last), and one row of it where rows repeat.
+
+    Groups are told apart by their texts, so that neither null ids nor an id that two texts share drop anything. Documents without words all stay, but
+    rows that repeat an id; columns as they were.
+    """
+    near = _components_of(docs, text=text, doc_id=doc_id, **how)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("_id"), F.col("k").alias("_k2"))).alias("one")
+    full = near.where("n_shingles > 0").groupBy("root").agg(first).select("one._id", "one._k2")
+    empty = near.where("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("k").alias("_k2")).distinct()
+    t = F.coalesce(F.col(text), F.lit(""))
+    alone = F.when(F.col(doc_id).isNull() & ~t.rlike(r"[^\x20\x09-\x0D]"), F.monotonically_increasing_id()).otherwise(-1)
+    tagged = docs.withColumns({"_k": F.xxhash64(t), "_alone": alone})
+    found = tagged.join(full.unionByName(empty), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_k2")), "left_semi")
+    return found.dropDuplicates([doc_id, "_k", "_alone"]).select(*docs.columns)
