@@ -35,3 +35,18 @@ def test_controllers_follow_their_rules(spark, sf):
     assert out and all(1000 <= r.rate_limit <= 100_000 for r in out)
     out = catalogue.adaptive_window_trace(spark, sf).collect()
     assert out and all(1000 <= r.window_size <= 300_000 and 100 <= r.disorder <= 60_000 for r in out)
+
+
+def test_ewma_of_all_events_is_that_of_a_loop(spark):
+    from tidemill.plans import catalogue
+
+    sf = "/root/testdata/sf0.01"
+    want, last, now = {}, {}, {}
+    for r in catalogue.events(spark, sf).orderBy("event_id").collect():
+        if r.event_type in last:
+            now[r.event_type] = 0.3 * (1000.0 / max(r.ms - last[r.event_type], 1)) + 0.7 * now.get(r.event_type, 0.0)
+        last[r.event_type] = r.ms
+        want[r.event_id] = (r.event_type, now.get(r.event_type, 0.0))
+    got = {r.event_id: (r.event_type, r.ewma) for r in QUERIES["ewma_rate_all"](spark, sf).collect()}
+    assert len(last) > 1 and len(want) > 2 * 512 * len(last) and got.keys() == want.keys()  # several blocks a key
+    assert all(got[i][0] == k and got[i][1] == pytest.approx(y, rel=1e-9, abs=1e-8) for i, (k, y) in want.items())

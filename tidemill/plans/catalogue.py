@@ -445,6 +445,12 @@ def ewma_rate(spark, sf):
     return control.ewma_rate(df, ["event_type"], ["event_id"], "ms").select("event_id", F.round("ewma", 9).alias("ewma"))
 
 
+@query(None)
+def ewma_rate_all(spark, sf):
+    """ewma_rate over all events; the recursion of its SQL is too slow for them, so a loop is the test."""
+    return control.ewma_rate(events(spark, sf), ["event_type"], ["event_id"], "ms").select("event_id", "event_type", F.round("ewma", 9).alias("ewma"))
+
+
 @query("WITH x AS (SELECT event_id, user_id, (200 - value) / 200 AS e FROM events) SELECT event_id, round(0.3 * e + 0.05 * sum(e) OVER (o ROWS UNBOUNDED PRECEDING) + 0.02 * (e - lag(e, 1, 0) OVER o) + 1e-8, 6) AS pid FROM x WINDOW o AS (PARTITION BY user_id ORDER BY event_id)")
 def pid_trace(spark, sf):
     out = control.pid(events(spark, sf), ["user_id"], ["event_id"], (200 - F.col("value")) / 200, "pid")
