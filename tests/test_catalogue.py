@@ -50,3 +50,19 @@ def test_ewma_of_all_events_is_that_of_a_loop(spark):
     got = {r.event_id: (r.event_type, r.ewma) for r in QUERIES["ewma_rate_all"](spark, sf).collect()}
     assert len(last) > 1 and len(want) > 2 * 512 * len(last) and got.keys() == want.keys()  # several blocks a key
     assert all(got[i][0] == k and got[i][1] == pytest.approx(y, rel=1e-9, abs=1e-8) for i, (k, y) in want.items())
+
+
+def test_ordered_reduction_covers_windows_of_any_size(spark):
+    from tidemill.plans import catalogue
+
+    sf = "/root/testdata/sf0.01"
+    out = QUERIES["window_reduce_ordered"](spark, sf).cache()
+    sizes = {r.n for r in out.select("n").distinct().collect()}
+    assert max(sizes) > 2 and 1 in sizes
+    day, last = 24 * catalogue.H, catalogue.events(spark, sf).selectExpr("max(ms)").first()[0] - catalogue.DELAY
+    want = {}
+    for r in catalogue.events(spark, sf).orderBy("event_id").collect():
+        k = (r.user_id, r.ms - r.ms % day)
+        if k[1] + day - 1 <= last:
+            want[k] = r.value - want[k] if k in want else r.value
+    assert {(r.user_id, r.window_start): r.result for r in out.collect()} == want

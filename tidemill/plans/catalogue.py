@@ -234,6 +234,13 @@ def window_reduce_custom(spark, sf):
     return both.filter(F.col("n") == 2).df.drop("n")
 
 
+@query(f"WITH {EV} SELECT user_id, ms - ms % {24 * H} AS window_start, ms - ms % {24 * H} + {24 * H} AS window_end, count(*) AS n, list_reduce(list(value ORDER BY event_id), lambda a, v: v - a) AS result FROM ev GROUP BY 1, 2, 3 HAVING window_end - 1 <= {LAST}")
+def window_reduce_ordered(spark, sf):
+    """window_reduce_custom over all closed windows, whatever their number of rows."""
+    w = stream(spark, sf).key_by("user_id").window(Tumbling(24 * H))
+    return w.aggregate(F.count(F.lit(1)).alias("n"), windowed.reduce(lambda a, v: v - a, F.col("value"), F.struct("event_id")).alias("result")).df
+
+
 @query(f"WITH {EV} SELECT ms - ms % {H} AS window_start, ms - ms % {H} + {H} AS window_end, string_agg(event_type, ',' ORDER BY event_id) AS result FROM ev GROUP BY 1, 2 HAVING window_end - 1 <= {LAST}")
 def window_fold_concat(spark, sf):
     return stream(spark, sf).window(Tumbling(H)).fold(F.lit(""), lambda a, v: F.when(a == "", v).otherwise(F.concat(a, F.lit(","), v)), F.col("event_type")).df
