@@ -4,12 +4,13 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import corpus
 from tests.oracle import same
-from tidemill.llm import langid, licences, mixing, queries, rules
+from tidemill.llm import langid, licences, mixing, neardup, queries, rules
 from tidemill.llm.decontaminate import contamination, decontaminate, longest_matches
 from tidemill.llm.neardup import drop_near_duplicates, near_duplicates
 from tidemill.llm.quality import score
@@ -156,6 +157,18 @@ def test_null_and_shared_ids_drop_no_unrelated_document(spark):
     assert got == Counter({(None, None, True): 5, (None, 7, False): 1, (7, 7, True): 1, (8, 7, False): 1, (9, 9, True): 3})
 
 
+def test_a_pair_at_the_threshold_with_few_shared_retained_values_is_linked(spark):
+    words = [f"w{i}" for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(words)], names=["class", "text"])
+    value = {i: int.from_bytes(s, "little") for b in neardup._full(1)(iter([batch])) for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    words = [words[i] for i in sorted(value, key=value.get)]
+    for percent, gone in ((85, 16), (85, 19), (80, 19), (80, 21)):  # 16, 13, 13 and 11 of 32 retained values shared
+        part = words[:2] + words[2 + gone : 2 * percent + gone]
+        docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(part))], "doc_id bigint, text string")
+        assert len(part) == 2 * percent
+        assert {r.component_id for r in near_duplicates(docs, percent=percent, width=1).collect()} == {1}
+
+
 # --- quality ---
 
 

@@ -4,9 +4,10 @@ One hash function gives every shingle a value; a document's sketch is its k smal
 whatever the size of the group), and classes are compared:
 
 1. inverted lists of retained values: neighbouring pairs of retained values are the keys. Two sets with a similarity of
-   0.85 or more share such a pair but with a probability under 1e-8 (sets of up to k shingles: always).
+   0.85 or more share such a pair but with a probability of 4.9e-9 (0.80: 1.7e-7).
 2. overlaps within a list, all at once as a product of membership matrices, give union-sketch estimates; what has no partner
-   with an estimate within five standard deviations of the threshold goes. Lists that leave the same members are done once.
+   that shares enough retained values goes: a pair at the threshold shares fewer with a probability under LOSS, by the exact binomial
+   tail (1.2e-9 at 0.85, 3.3e-9 at 0.80; sets of up to k shingles together: never). Lists that leave the same members are done once.
 3. the full sets of what is left meet, and exact intersections, again as a product, verify the links. A task returns a spanning forest of its
    links and never all pairs.
 4. connected components over the links of all lists.
@@ -17,6 +18,7 @@ A list of more than `crowd` classes is dealt out in blocks: every pair of blocks
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from .shared import discard, materialize
 
 CHUNK = 2 << 20
 KEYS = 24  # retained values that make keys
+LOSS = 4e-9  # probability with which estimates may drop a pair at the threshold
 
 
 def _sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +113,19 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _least_shared(k: int, threshold: float) -> int:
+    """How many of the k smallest values of a union both sets must hold; a pair at the threshold holds fewer with a probability under LOSS."""
+    tail = 0.0
+    for c in range(k):
+        tail += comb(k, c) * threshold**c * (1 - threshold) ** (k - c)
+        if tail >= LOSS:
+            return c
+    return k
+
+
 def _estimated(k: int, threshold: float):
     """From the members of lists (key, class, sketch) to groups (group, class) that may hold a link."""
-    slack = 5 * np.sqrt(threshold * (1 - threshold) / k)
+    least = _least_shared(k, threshold)
 
     def solve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("class", "ascending")])
@@ -127,8 +140,7 @@ def _estimated(k: int, threshold: float):
             sets = [np.frombuffer(x, U) for x in sketches[lo:hi]]
             size = np.array([len(s) for s in sets])
             both = _overlaps(sets)
-            estimate = both / np.minimum(k, size[:, None] + size[None, :] - both)
-            label = _forest(estimate >= threshold - slack)
+            label = _forest(k * both >= least * np.minimum(k, size[:, None] + size[None, :] - both))
             for g in np.flatnonzero(np.bincount(label) > 1):
                 own = of[lo:hi][label == g]
                 groups.append(np.full(len(own), int(mix(np.frombuffer(own.tobytes(), U) * U(0xFF51AFD7ED558CCD) + np.arange(len(own)).astype(U)).sum(dtype=U)), U).view(np.int64))
