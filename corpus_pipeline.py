@@ -18,7 +18,7 @@ from tidemill.llm.sharding import assign_shards
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; those without a letter or with a poor score go."""
+    """Documents in a language that the labelled ones teach; those without a letter or with a poor score go (without labelled ones, those without a letter)."""
     return langid.accept(docs, langid.train(docs), least=0.4)
 
 

@@ -277,6 +277,22 @@ def test_language_of_held_out_documents(spark):
     assert (model.weights == 0).mean() > 0.1  # the penalty leaves gaps
 
 
+def test_rare_languages_are_known_to_the_model(spark):
+    greek = ["η γλώσσα αυτή είναι σπάνια εδώ", "μια γλώσσα που είναι σπάνια", "και αυτή η γλώσσα είναι εδώ", "εδώ είναι η σπάνια γλώσσα"]
+    plain = [(i, f"some words of a common language {i} and nothing else here", "en") for i in range(1500)]
+    plain += [(i, f"viele wörter einer anderen sprache {i} und sonst nichts hier", "de") for i in range(1500, 3000)]
+    docs = spark.createDataFrame(plain + [(5000 + i, t, "el") for i, t in enumerate(greek)], "doc_id bigint, text string, lang string")
+    model = langid.train(docs, max_rows=60)
+    assert model.langs == ["de", "el", "en"]
+    assert langid.predict(docs, model).where("lang != lang_pred").count() == 0
+    assert langid.accept(docs, model).where("lang = 'el'").count() == 4
+
+
+def test_without_labels_lettered_documents_stay(spark):
+    docs = spark.createDataFrame([(1, "words", None), (2, "éß", None), (3, "12 ...", None), (4, "", None), (5, None, None), (6, "漢字", None)], "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in langid.accept(docs, langid.train(docs)).collect()} == {1, 2, 6}
+
+
 # --- licences ---
 
 

@@ -9,12 +9,14 @@ back for temperature calibration. Prediction gathers weights over whole texts in
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,11 +133,12 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int,
     return weights(np.arange(dims))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: tuple[str, ...] = ("doc_id",), max_rows: int = 3000, seed: int = 5) -> Model | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: tuple[str, ...] = ("doc_id",), max_rows: int = 3000, seed: int = 5, minimum: int = 50) -> Model | None:
     """A model of docs (the learning folds), or None without labelled rows.
 
     Document frequencies cover every labelled row. The regression and the temperature are fitted on the max_rows rows with the smallest hash
-    of `order` and the text (one in five of them for the temperature): a documented bound, as is the number of languages in that sample.
+    of `order` and the text (one in five of them for the temperature): a documented bound. Languages are counted over all labelled rows; one with fewer
+    than `minimum` rows in that sample gets its own rows with the smallest hash besides, up to `minimum`, so that none is unknown to the model.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(seed), *[F.col(c) for c in order], F.col(text)).alias("h"))
     df = np.zeros(D + 1, np.int64)
@@ -143,9 +146,19 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: tuple[
         df[i] = n  # -1: the number of documents
     if not df[-1]:
         return None
-    sample = rows.orderBy("h", "lang").limit(max_rows).select("lang", "text").mapInArrow(_features, "lang string, ids binary, counts binary").toArrow()
+    features = lambda some: some.select("lang", "text").mapInArrow(_features, "lang string, ids binary, counts binary").toArrow()
+    sample = features(rows.orderBy("h", "lang").limit(max_rows))
+    seen = Counter(sample["lang"].to_pylist())
+    langs = sorted(r[0] for r in rows.groupBy("lang").count().collect())  # one row a language
+    rare = [x for x in langs if seen[x] < minimum]
+    if rare and sample.num_rows == max_rows:
+        own = rows.where(F.col("lang").isin(rare))
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+        cuts = own.select("lang", "h").withColumn("place", place).where(F.col("place") <= minimum).groupBy("lang").agg(F.max("h").alias("cut"))
+        more = features(own.join(F.broadcast(cuts), "lang").where("h <= cut").dropDuplicates(["lang", "h"]).orderBy("lang", "h"))
+        common = sample.filter(pc.invert(pc.is_in(sample["lang"], pa.array(rare, pa.string()))))  # what it holds of the rare ones comes again
+        sample = pa.concat_tables([common, more])
     names = sample["lang"].to_pylist()
-    langs = sorted(set(names))
     idf = np.log((df[-1] + 1) / (df[:D] + 1)) + 1
     data = []
     for ids, counts in zip(sample["ids"].to_pylist(), sample["counts"].to_pylist(), strict=True):
@@ -155,6 +168,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: tuple[
     data = [(np.append(i, D), np.append(x * scale, 1.0)) for i, x in data]
     y = np.array([langs.index(n) for n in names])
     held = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
+    held &= np.bincount(y[~held], minlength=len(langs))[y] > 0  # no language is only held back
     w = ftrl([data[i] for i in np.flatnonzero(~held)], y[~held], len(langs), D + 1)
     check = np.flatnonzero(held) if held.any() else np.arange(len(y))
     logits = np.stack([data[i][1] @ w[data[i][0]] for i in check])
@@ -205,6 +219,8 @@ def fold(doc_id: str, n: int) -> Column:
 
 
 def accept(docs: DataFrame, model: Model | None, least: float = 0.4, text: str = "text") -> DataFrame:
-    """docs whose language is one of the model's, with a score of `least` or more; columns as they were."""
+    """docs whose language is one of the model's, with a score of `least` or more; without a model, docs with a letter. Columns as they were."""
+    if model is None:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
     into = ("_lang_pred", "_lang_score")
     return predict(docs, model, text, into).where((F.col(into[0]) != "und") & (F.col(into[1]) >= least)).select(*docs.columns)
