@@ -66,3 +66,12 @@ def test_ordered_reduction_covers_windows_of_any_size(spark):
         if k[1] + day - 1 <= last:
             want[k] = r.value - want[k] if k in want else r.value
     assert {(r.user_id, r.window_start): r.result for r in out.collect()} == want
+
+
+def test_latencies_reach_back_1000_rows(spark, tmp_path):
+    rows = spark.range(1200).selectExpr("id AS event_id", "timestamp_millis(id) AS ts", "1L AS user_id", "'a' AS event_type", "double(id * 7919 % 1201) AS value", "'' AS props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    values = [float(i * 7919 % 1201) for i in range(1200)]
+    for r in QUERIES["latency_percentiles_1000"](spark, str(tmp_path)).collect():
+        own = sorted(values[max(0, r.event_id - 999) : r.event_id + 1])
+        assert [r.median, r.p95, r.p99] == [own[int(len(own) * p)] for p in (0.5, 0.95, 0.99)]
