@@ -50,16 +50,22 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple = (3, 1, 2), share: floa
     words; ties of the key are broken by doc_id and content; equal rows have equal keys and are interchangeable; an empty
     table gives no rows; other columns are not read.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), t), 11) + 0.5) / float(1 << 53)
+    return _mix(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")), seed, weights, share, limit).drop("rid")
+
+
+def _mix(docs: DataFrame, seed: int = 17, weights: tuple = (3, 1, 2), share: float = 1.5, limit: float = 2.0) -> DataFrame:
+    """mix() of doc_id, source and text, and of rid (a row's number) where that is there."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), t), 11) + 0.5) / float(1 << 53)
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(source).alias("source"),
+        "doc_id",
+        "source",
         F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"),
         F.round(-F.ln(u) / quality_weight(t), 12).alias("key"),
-        F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), t, F.col(text).isNull()).alias("row_key"),
+        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), t, F.col("text").isNull()).alias("row_key"),
+        (F.col("rid") if "rid" in docs.columns else F.lit(None).cast("long")).alias("rid"),
     )
-    summed = materialize(running_totals(rows, ["key", "doc_id", "row_key"], ["size"], "source"), "mixed")
+    summed = running_totals(rows, ["key", "doc_id", "row_key"], ["size"], "source")
     sizes = {r[0]: r[1] for r in summed.groupBy("source").agg(F.sum("size")).collect()}
     goal = targets(sizes, weights, share, limit)
     plan = docs.sparkSession.createDataFrame([(s, sizes[s], float(goal[s])) for s in sizes], "s string, source_size long, target double")
@@ -69,15 +75,17 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple = (3, 1, 2), share: floa
     return (
         summed.join(plan, F.col("source").eqNullSafe(F.col("s")))
         .withColumn("copies", (epochs + more.cast("long")).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "row_key")
+        .select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "row_key", "rid")
     )
 
 
 def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as mix() takes it; columns as they were. Equal rows share what they are taken."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    taken = mix(docs, text=text, doc_id=doc_id, source=source, **how).groupBy("source", "row_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    taken = taken.select(F.col("source").alias("_source"), F.col("row_key").alias("_key"), "_copies")
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), t, F.col(text).isNull())).dropDuplicates([source, "_row_key"])
-    found = keyed.join(taken, (F.col("_row_key") == F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")))
-    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).drop("_copy")
+    """The mix itself: each row of docs as often as mix() takes it; columns as they were, whatever their names.
+
+    Rows are numbered first (in a table of the shared folder) and joined by that number, so rows that are equal in id and text but differ in other columns each
+    keep their own, and a group of repeated rows is no hot key. Nulls, empty texts, ties and empty tables as in mix().
+    """
+    own = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid")), "mixing")
+    taken = _mix(own.select(F.col("row")[doc_id].alias("doc_id"), F.col("row")[source].alias("source"), F.col("row")[text].alias("text"), "rid"), **how)
+    found = own.join(taken.where("copies > 0").select("rid", "copies"), "rid")
+    return found.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("row.*")

@@ -4,50 +4,44 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import materialize
+from .shared import discard, materialize
 
+RANGE = 1 << 20  # rows of a range, about
 
-def running_totals(rows: DataFrame, order: list[str], values: list[str], group: str | None = None) -> DataFrame:
-    """rows with before_<v> for each v of values: the sum of v (integers) over the rows before, within the group.
 
-    The rows are dealt out by ranges of (group, *order), so a hot group spans as many partitions as its rows need. Only
-    totals reach the driver: one row for each partition and group in it, at most partitions + groups rows, since ranges
-    follow one another. order should be a total order of distinct rows; rows equal in all of it are interchangeable.
+def running_totals(rows: DataFrame, order: list[str], values: list[str], group: str | None = None, range_rows: int = RANGE) -> DataFrame:
+    """rows with before_<v> for each v of values: the sum of v (integers) over the rows before, within the group; written to the shared folder.
+
+    The rows are dealt out by ranges of (group, *order) of about range_rows rows, so a hot group spans as many ranges as its rows need, and more rows
+    make more ranges. Only totals reach the driver: one row for each range and group in it, at most ranges + groups rows, since ranges
+    follow one another. Rows that are equal in all of the order are interchangeable; a number tells them apart, so that
+    they too spread over ranges. Within a range a window runs, which spills.
     """
     keys = ([group] if group else []) + order
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    narrow = materialize(rows, "rows")  # sampling for the ranges reads these narrow rows, not the texts again
-    placed = materialize(narrow.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()), "ranged")
+    narrow = materialize(rows.withColumn("_tie", F.monotonically_increasing_id()), "rows")  # sampling for the ranges reads these narrow rows, not the texts again
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-narrow.count() // range_rows))
+    placed = materialize(narrow.repartitionByRange(n, *keys, "_tie").withColumn("_part", F.spark_partition_id()), "ranged")
     sums = placed.groupBy("_part", *([group] if group else [])).agg(*[F.sum(v).alias(v) for v in values]).collect()
     run: dict = defaultdict(lambda: [0] * len(values))
-    offsets: dict = {}
+    offsets = []
     for r in sorted(sums, key=lambda r: r["_part"]):
         g = r[group] if group else None
-        offsets[r["_part"], g] = run[g]
+        offsets.append((r["_part"], g, *run[g]))
         run[g] = [a + (r[v] or 0) for a, v in zip(run[g], values, strict=True)]
-
-    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        part = key[0].as_py()
-        table = table.take(pc.sort_indices(table, [(k, "ascending") for k in keys], null_placement="at_start"))
-        if group:
-            codes = table[group].combine_chunks().dictionary_encode("encode")
-            names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
-        else:
-            names, code = [None], np.zeros(len(table), np.int64)
-        change = np.concatenate([[True], code[1:] != code[:-1]])
-        first = np.maximum.accumulate(np.where(change, np.arange(len(code)), 0))
-        for i, v in enumerate(values):
-            x = table[v].to_numpy().astype(np.int64)
-            total = np.cumsum(x) - x
-            base = np.array([offsets[part, g][i] for g in names], np.int64)
-            table = table.append_column(f"before_{v}", pa.array(total - total[first] + base[code]))
-        return table
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema] + [f"before_{v} long" for v in values])
-    return placed.groupBy("_part").applyInArrow(add, schema).drop("_part")
+    kind = placed.schema[group].dataType if group else T.IntegerType()
+    names = [f"_from_{v}" for v in values]
+    schema = T.StructType([T.StructField("_at", T.IntegerType()), T.StructField("_group", kind), *[T.StructField(c, T.LongType()) for c in names]])
+    start = rows.sparkSession.createDataFrame(offsets, schema)  # at most ranges + groups rows
+    within = Window.partitionBy("_part", *([group] if group else [])).orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("_part") == F.col("_at")
+    if group:
+        same = same & F.col(group).eqNullSafe(F.col("_group"))
+    summed = placed.join(F.broadcast(start), same)
+    before = [(F.coalesce(F.sum(v).over(within), F.lit(0)) + F.col(c)).cast("long").alias(f"before_{v}") for v, c in zip(values, names, strict=True)]
+    out = materialize(summed.select(*rows.columns, *before), "summed")
+    discard(narrow, placed)
+    return out

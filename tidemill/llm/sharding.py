@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .prefix import running_totals
-from .shared import materialize
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 40, overhead: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -34,7 +33,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, overhead: int = 16, text:
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"),
         F.lit(1).cast("long").alias("one"),
     )
-    summed = materialize(running_totals(rows, ["text_crc32", "_h", "doc_id"], ["size", "one"]), "summed")
+    summed = running_totals(rows, ["text_crc32", "_h", "doc_id"], ["size", "one"])
     total = summed.agg(F.sum("size")).first()[0] or 1
     middle = F.col("before_size").cast("decimal(38,0)") * 2 + F.col("size")
     shard = F.least(F.floor(middle * n_shards / F.lit(2 * total).cast("decimal(38,0)")), F.lit(n_shards - 1)).cast("int")

@@ -32,17 +32,54 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemill_path = path
+    _written(spark).add(path)
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialize() wrote, once nothing will read them again, and free the shuffles behind them."""
+def _written(spark: SparkSession) -> set[str]:
+    """Paths of the tables of this session that are still there."""
+    context = spark.sparkContext
+    if not hasattr(context, "_tidemill_tables"):
+        context._tidemill_tables = set()
+    return context._tidemill_tables
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written(spark).discard(at)
+
+
+def discard(*tables: DataFrame, free: bool = False) -> None:
+    """Delete tables that materialize() wrote, once nothing will read them again. free: also the shuffle files behind them, where those are large."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._tidemill_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()  # shuffle files go when the driver's references to them do
+        _delete(df.sparkSession, df._tidemill_path)
+    if free:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()  # shuffle files go when the driver's references to them do
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables that results of this session still read from; call it when those results are written. Returns how many there were."""
+    left = list(_written(spark))
+    for at in left:
+        _delete(spark, at)
+    return len(left)
+
+
+def smallest(df: DataFrame, by: str, n: int, total: int) -> DataFrame:
+    """The rows of df (of `total`) whose 64-bit hash `by` is among the n smallest, ties of the last included.
+
+    Only hashes are ordered, and of those only the share that can be among the smallest: hashes are even, so one filter leaves
+    little more than n of them, however many partitions there are.
+    """
+    share = 1.2 * n / max(total, 1) + 1e-6
+    while True:
+        top = F.lit(int(-(1 << 63) + min(1.0, share) * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1)
+        cut = df.select(by).where(F.col(by) <= top).orderBy(by).limit(n).agg(F.count(F.lit(1)), F.max(by)).first()
+        if cut[0] >= n or share >= 1:
+            return df.where(F.col(by) <= F.lit(cut[1] if cut[1] is not None else -(1 << 63)))
+        share *= 4
 
 
 def ascii_lower(col):
