@@ -27,7 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         now, was = small, mark
         mark = _mark(now)
         if mark == was:
-            return now.select("u", F.col("v").alias("root"))
+            out = now.select("u", F.col("v").alias("root"))
+            out._tidemill_path = now._tidemill_path  # for the caller to discard
+            return out
 
 
 def _mark(edges: DataFrame) -> tuple:

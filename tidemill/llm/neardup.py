@@ -3,15 +3,19 @@
 One hash function gives every shingle a value; a document's sketch is its k smallest. Documents with equal sets are one class (found by fingerprints,
 whatever the size of the group), and classes are compared:
 
-1. inverted lists of retained values: neighbouring pairs of retained values are the keys. Two sets with a similarity of
-   0.85 or more share such a pair but with a probability of 4.9e-9 (0.80: 1.7e-7).
-2. overlaps within a list, all at once as a product of membership matrices, give union-sketch estimates; what has no partner
-   that shares enough retained values goes: a pair at the threshold shares fewer with a probability under LOSS, by the exact binomial
-   tail (1.2e-9 at 0.85, 3.3e-9 at 0.80; sets of up to k shingles together: never). Lists that leave the same members are done once.
+1. inverted lists of retained values. Two sketches that share enough for a link share one of their rarest values (prefix filter, below),
+   so each class stands only in the lists of those; no pair is lost by it.
+2. within a list, overlaps of all pairs come from a product of membership matrices. A pair that could pass gets its union sketch: of the k smallest
+   values of the union, the share that both hold estimates the similarity. A pair at the threshold that shares fewer than required
+   has a probability under LOSS, by the exact binomial tail (1.2e-9 at 0.85, 3.3e-9 at 0.80; sets of up to k shingles together: never).
+   Lists that leave the same members are done once.
 3. the full sets of what is left meet, and exact intersections, again as a product, verify the links. A task returns a spanning forest of its
    links and never all pairs.
 4. connected components over the links of all lists.
 
+Prefix filter: retained values are ordered by how many classes retain them, then by value. If `need` of a sketch's n values must be shared, then one of the
+first n - need + 1 of each partner is. Values of one class alone come first, so most classes stand in no list at all.
+
 A list of more than `crowd` classes is dealt out in blocks: every pair of blocks meets in one task, so no pair is lost.
 """
 
@@ -30,7 +34,6 @@ from .flat import LOWER, SPACE, U, Words, chunks, mix, windows
 from .shared import discard, materialize
 
 CHUNK = 2 << 20
-KEYS = 24  # retained values that make keys
 LOSS = 4e-9  # probability with which estimates may drop a pair at the threshold
 
 
@@ -64,22 +67,30 @@ def _sketches(width: int, k: int):
                 other = np.concatenate([np.zeros(1, U), np.cumsum(mix(value + U(0x14057B7EF767814F)), dtype=U)])
                 f = mix((mixed[first[1:]] - mixed[first[:-1]]) ^ mix(other[first[1:]] - other[first[:-1]] + n.astype(U)))
                 sketch = [value[a : a + min(k, c)].tobytes() for a, c in zip(first[:-1].tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(f.view(np.int64)), pa.array(sketch, pa.binary())], names=["row", "k", "n_shingles", "class", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(n.astype(np.int64)), pa.array(f.view(np.int64)), pa.array(sketch, pa.binary())], names=["row", "k", "rid", "n_shingles", "class", "sketch"])
 
     return scan
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, class) for each neighbouring pair of a class's KEYS smallest values; a single value is a key of its own."""
+def _retained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, class, n) for each retained value of a class and the number of them."""
     for batch in batches:
-        key, of = [], []
-        for c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            v = np.frombuffer(s, U)[:KEYS]
-            if len(v) > 1:
-                key.append(mix(v[:-1] * U(0xD1342543DE82EF95) + v[1:]))
-                of.append(np.full(len(v) - 1, c, np.int64))
-        if key:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(of))], names=["key", "class"])
+        sketches = [np.frombuffer(s, U) for s in batch.column(1).to_pylist()]
+        if sketches:
+            n = np.array([len(v) for v in sketches], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sketches).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.repeat(n, n))], names=["key", "class", "n"])
+
+
+def _rarest(classes: DataFrame, k: int, least: int) -> DataFrame:
+    """(key, class): the retained values by which a class has to be found, those that others retain too."""
+    kept = materialize(classes.select("class", "sketch").mapInArrow(_retained, "key long, class long, n int"), "retained")
+    shared = materialize(kept.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
+    own = kept.join(shared, "key").groupBy("class").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("m", "key"))).alias("own"))  # k entries at most
+    need = F.ceil(F.lit(least) * F.col("n") / k)  # a partner shares so many: its union with this set is no smaller than this set
+    some = own.withColumn("keys", F.size("own") - need + 1).where("keys > 0")
+    out = materialize(some.select("class", F.explode(F.slice("own", 1, F.col("keys").cast("int"))).alias("x")).select(F.col("x.key").alias("key"), "class"), "keys")
+    discard(kept, shared)
+    return out
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -123,6 +134,42 @@ def _least_shared(k: int, threshold: float) -> int:
     return k
 
 
+def _union_sketch(a: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
+    """How many of the k smallest values of the union of a and each row of others both hold. Rows ascend and are filled up with the largest value."""
+    place = np.searchsorted(a, others)
+    common = (a[np.minimum(place, len(a) - 1)] == others) & (place < len(a))
+    rank = place + np.arange(others.shape[1]) - (np.cumsum(common, axis=1) - common)  # in the union, for a common value
+    return (common & (rank < k)).sum(axis=1)
+
+
+def _estimated_groups(sets: list[np.ndarray], k: int, least: int) -> np.ndarray:
+    """A label for each sketch: those that estimates link, directly or by others, share one."""
+    m, size = len(sets), np.array([len(s) for s in sets])
+    both = _overlaps(sets)
+    union = np.minimum(k, size[:, None] + size[None, :] - both)
+    may = k * both >= least * union
+    label = np.arange(m)
+    if int(may.sum()) == m:
+        return label
+    flat = np.full((m, k), U(0xFFFFFFFFFFFFFFFF), U)
+    for i, s in enumerate(sets):
+        flat[i, : len(s)] = s
+    free = np.ones(m, bool)
+    for root in range(m):
+        if not free[root]:
+            continue
+        free[root] = False
+        open_ = [root]
+        while open_:
+            i = open_.pop()
+            near = np.flatnonzero(may[i] & free)
+            if len(near):
+                near = near[k * _union_sketch(sets[i], flat[near], k) >= least * union[i, near]]
+                label[near], free[near] = root, False
+                open_ += near.tolist()
+    return label
+
+
 def _estimated(k: int, threshold: float):
     """From the members of lists (key, class, sketch) to groups (group, class) that may hold a link."""
     least = _least_shared(k, threshold)
@@ -137,10 +184,7 @@ def _estimated(k: int, threshold: float):
             if (whole := of[lo:hi].tobytes()) in done:
                 continue
             done.add(whole)
-            sets = [np.frombuffer(x, U) for x in sketches[lo:hi]]
-            size = np.array([len(s) for s in sets])
-            both = _overlaps(sets)
-            label = _forest(k * both >= least * np.minimum(k, size[:, None] + size[None, :] - both))
+            label = _estimated_groups([np.frombuffer(x, U) for x in sketches[lo:hi]], k, least)
             for g in np.flatnonzero(np.bincount(label) > 1):
                 own = of[lo:hi][label == g]
                 groups.append(np.full(len(own), int(mix(np.frombuffer(own.tobytes(), U) * U(0xFF51AFD7ED558CCD) + np.arange(len(own)).astype(U)).sum(dtype=U)), U).view(np.int64))
@@ -185,24 +229,26 @@ def _full(width: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int = 32, crowd: int = 4096, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, row (64-bit key of the row), n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
+    """doc_id, k (64-bit key of the text), n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
 
     Words are split at ASCII white space after lower-casing A-Z. Documents are linked if 100 * intersection >= percent * union of their shingle sets.
     A null text, or one without words, has no shingles and is linked with nothing; equal rows belong to one component and, sharing the smallest
-    id, are all marked kept (drop_near_duplicates keeps one); a null doc_id counts only where its component has no other. Other columns are not read.
+    id, are all marked kept (drop_near_duplicates keeps one); a null doc_id counts only where its component has no other; a text of any length is read whole. Other columns are
+    not read, whatever their names; an empty table gives no rows.
     """
-    return _components_of(docs, percent, width, k, crowd, text, doc_id).select("doc_id", "k", "n_shingles", "component_id", "kept")
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(None).cast("long").alias("rid"))
+    return _components_of(base, percent, width, k, crowd).select("doc_id", "k", "n_shingles", "component_id", "kept")
 
 
-def _components_of(docs: DataFrame, percent: int = 85, width: int = 5, k: int = 32, crowd: int = 4096, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """near_duplicates with the component's root, a class; null without shingles."""
-    spark = docs.sparkSession
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("k"), t.alias("text"))
-    rows = materialize(base.select(F.col("doc_id").alias("row"), "k", "text").mapInArrow(_sketches(width, k), f"row {base.schema['doc_id'].dataType.simpleString()}, k long, n_shingles long, class long, sketch binary"), "sketches")
+def _components_of(base: DataFrame, percent: int = 85, width: int = 5, k: int = 32, crowd: int = 4096) -> DataFrame:
+    """near_duplicates of doc_id, text and rid (a row's number, or null), with rid and the component's root, a class (null without shingles)."""
+    spark = base.sparkSession
+    base = base.select("doc_id", F.xxhash64("text").alias("k"), "text", "rid")
+    kind = base.schema["doc_id"].dataType.simpleString()
+    rows = materialize(base.select(F.col("doc_id").alias("row"), "k", "rid", "text").mapInArrow(_sketches(width, k), f"row {kind}, k long, rid long, n_shingles long, class long, sketch binary"), "sketches")
     some = rows.where("n_shingles > 0")
     classes = materialize(some.groupBy("class").agg(F.min("row").alias("low"), F.min(F.struct("k", "row", "sketch")).alias("one")).select("class", "low", "one.k", F.col("one.row").alias("row"), "one.sketch"), "classes")
-    keys = classes.select("class", "sketch").mapInArrow(_keys, "key long, class long")
+    keys = _rarest(classes, k, _least_shared(k, percent / 100))
     sizes = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "lists")
     total = sizes.agg(F.sum("m")).first()[0] or 0
     # long lists go out in blocks, each pair of blocks under a key of its own
@@ -222,9 +268,9 @@ def _components_of(docs: DataFrame, percent: int = 85, width: int = 5, k: int =
     roots = components(links)
     low = classes.join(roots.withColumnRenamed("u", "class"), "class", "left").select("class", "low", F.coalesce("root", "class").alias("root"))
     low = low.join(low.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("class", "component_id", "root")
-    out = rows.join(low, "class", "left").select(F.col("row").alias("doc_id"), "k", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("row")).alias("component_id"), "root")
+    out = rows.join(low, "class", "left").select(F.col("row").alias("doc_id"), "k", "rid", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("row")).alias("component_id"), "root")
     out = materialize(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near")
-    discard(rows, classes, sizes, groups, links)
+    discard(rows, classes, keys, sizes, groups, links, roots, free=True)
     return out
 
 
@@ -232,14 +278,13 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     """docs with one document of each group: that with the smallest id (a null one comes last), and one row of it where rows repeat.
 
     Groups are told apart by their texts, so that neither null ids nor an id that two texts share drop anything. Documents without words all stay, but
-    rows that repeat an id; columns as they were.
+    rows that repeat an id and a text; columns as they were, whatever their names. Rows are numbered first, in a table of the shared folder, and chosen by that number.
     """
-    near = _components_of(docs, text=text, doc_id=doc_id, **how)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("_id"), F.col("k").alias("_k2"))).alias("one")
-    full = near.where("n_shingles > 0").groupBy("root").agg(first).select("one._id", "one._k2")
-    empty = near.where("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("k").alias("_k2")).distinct()
-    t = F.coalesce(F.col(text), F.lit(""))
-    alone = F.when(F.col(doc_id).isNull() & ~t.rlike(r"[^\x20\x09-\x0D]"), F.monotonically_increasing_id()).otherwise(-1)
-    tagged = docs.withColumns({"_k": F.xxhash64(t), "_alone": alone})
-    found = tagged.join(full.unionByName(empty), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_k2")), "left_semi")
-    return found.dropDuplicates([doc_id, "_k", "_alone"]).select(*docs.columns)
+    own = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid")), "numbered")
+    base = own.select(F.col("row")[doc_id].alias("doc_id"), F.coalesce(F.col("row")[text], F.lit("")).alias("text"), "rid")
+    near = _components_of(base, **how)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k", "rid")).alias("one")
+    full = near.where("n_shingles > 0").groupBy("root").agg(first).select("one.rid")
+    empty = near.where("n_shingles = 0 AND doc_id IS NOT NULL").groupBy("doc_id", "k").agg(F.min("rid").alias("rid")).select("rid")
+    unnamed = near.where("n_shingles = 0 AND doc_id IS NULL").select("rid")
+    return own.join(full.unionByName(empty).unionByName(unnamed), "rid", "left_semi").select("row.*")
