@@ -46,19 +46,22 @@ def _repeat_words(words: Column, n: Column) -> Column:
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words, n_upper.
 
-    A null text counts as empty: every count is 0. Columns of docs with these names are replaced; other columns stay.
+    A null text counts as empty: every count is 0. Columns of docs with these names are replaced; other columns stay, whatever their names. Repeated
+    rows are counted each; a text of any length is read whole, in a memory of a few times its words; an empty table stays empty.
     """
     new = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_upper")
     old = [c for c in docs.columns if c not in new]
     t = F.coalesce(F.col(text), F.lit(""))
-    stage = docs.select(*old, _words(t).alias("_words"), F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(NO_SPACE))).alias("_lines"))
+    # the rows travel in a struct, so that no name of theirs can clash
+    stage = docs.select(F.struct(*old).alias("_row"), t.alias("_t"), _words(t).alias("_words"), F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(NO_SPACE))).alias("_lines"))
     stage = stage.withColumn("n_words", F.size("_words"))
     stage = stage.withColumn("_spans", _repeat_words(F.col("_words"), F.col("n_words")))
     same = lambda x, k: F.coalesce(F.get(F.col("_spans"), k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(F.col("_spans"), k + 1)["h"] == x["h"], F.lit(False))
     stage = stage.withColumn("_twice", opaque(F.sort_array(F.transform(F.filter("_spans", same), lambda x: x["i"]))))
     covered = F.aggregate(F.transform("_twice", lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col("_twice"), k + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
+    t = F.col("_t")
     return stage.select(
-        *old,
+        "_row.*",
         F.col("n_words").cast("long").alias("n_words"),
         (F.char_length(t) - F.regexp_count(t, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -86,7 +89,8 @@ def compiled(thresholds: tuple = THRESHOLDS) -> Column:
 
 
 def score(docs: DataFrame, thresholds: tuple = THRESHOLDS, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """statistics() with base_failed (too few words, or too many of them in repeated windows) and kept (base and table passed)."""
+    """statistics() with base_failed (too few words, or too many of them in repeated windows) and kept (base and table passed). Columns of docs
+    with these two names are replaced; nulls, long and repeated texts and empty tables as in statistics()."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return statistics(docs, text).withColumn("base_failed", failed).withColumn("kept", ~failed & compiled(thresholds))
 
