@@ -1,12 +1,14 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
 Every chunk of documents is a shard with a suffix array of its words (Larsson-Sadakane prefix doubling over ranks, on word
-hashes of 64 bits). Every suffix of every benchmark item is binary-searched in every shard: the range of suffixes that
-share its first `window` words gives all places of that window, its neighbours give the longest verbatim match. A
-document lies in one shard, whole, so one scan decides it and no text is shuffled.
-
-The benchmark is a stated query set. Its words are sent to the executors in blocks of at most `block_bytes` of text, one
-scan of the documents for each block; the size is measured first, so nothing unbounded is broadcast or collected.
+hashes of 64 bits). Every suffix of every benchmark item that begins a window is binary-searched in every shard: the range of suffixes that
+share its first words gives all places of that window. For each place the longest verbatim match is sought among the benchmark
+suffixes that begin with the same window; documents go by the words that those matches cover. A document lies in one shard, whole, so one scan decides
+it and no text is shuffled.
+
+The benchmark is a stated query set. Its words are sent to the executors in blocks of at most `block_bytes` of text; the size is measured first, so nothing
+unbounded is broadcast or collected. A benchmark of several blocks takes one scan of the documents for each: a block is read, sent, searched for, and freed before
+the next, and only what it hits is written.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flat import LOWER, PUNCT, U, Words, buffers, chunks
+from .flat import LOWER, PUNCT, Sequence, Words, buffers, chunks
+from .shared import discard, materialize
 
 BLOCK_BYTES = 32 << 20
-RESULT = "n_words long, n_hit long, n_items long, items array<string>, hits binary"
+RESULT = "n_words long, n_hit long, n_items long, items array<string>, hits binary, longest long, longest_word long"
 
 
 def suffix_array(words: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
@@ -59,54 +62,68 @@ def suffix_array(words: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Suffixes of some benchmark items. A window is `width` words; an item with fewer is one window."""
+    """Suffixes of some benchmark items. A window is `window` words; an item with fewer is one window."""
 
-    words: np.ndarray
+    text: Sequence
     starts: np.ndarray  # one start of each distinct window
     widths: np.ndarray
     items: list[list[str]]  # names of the items that hold each distinct window
-    longest: int
+    sorted: np.ndarray  # all starts of windows, in the order of windows and then of their suffixes
+    first: np.ndarray  # where each window's starts begin in there
 
 
-def _blocks(bench: DataFrame, window: int, text: str, item_id: str, block_bytes: int) -> Iterator[Block]:
+def _parts(bench: DataFrame, text: str, item_id: str, block_bytes: int) -> Iterator[pa.Table]:
+    """The benchmark (item, text) in tables of block_bytes of text, about, one at a time."""
     bench = bench.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     for b in range(n):
-        part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) if n > 1 else bench
-        got = part.toArrow().combine_chunks()
-        data, at = buffers(got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()))
-        w = Words(LOWER[data], at, PUNCT)
-        h, left, names = w.hashes(), w.left(), got["item"].to_pylist()
-        length = w.counts[w.owner] if len(w) else np.zeros(0, np.int64)
-        first = np.arange(len(w)) == w.first[w.owner] if len(w) else np.zeros(0, bool)
-        starts = np.flatnonzero((left >= window) | (first & (length < window)))
-        widths = np.minimum(length[starts], window)
-        distinct: dict[bytes, int] = {}
-        at_, wide, items = [], [], []
-        for s, k in zip(starts.tolist(), widths.tolist(), strict=True):
-            i = distinct.setdefault(h[s : s + k].tobytes(), len(at_))
-            if i == len(at_):
-                at_.append(s), wide.append(k), items.append(set())
-            if names[w.owner[s]] is not None:
-                items[i].add(names[w.owner[s]])
-        yield Block(h, np.array(at_, np.int64), np.array(wide, np.int64), [sorted(x) for x in items], int(w.counts.max(initial=0)))
-
-
-def _bound(order: np.ndarray, words: np.ndarray, left: np.ndarray, block: Block, upper: bool) -> np.ndarray:
-    """For each window of the block, how many suffixes sort before it (upper: or begin with it)."""
-    lo, hi = np.zeros(len(block.starts), np.int64), np.full(len(block.starts), len(order), np.int64)
+        yield (bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) if n > 1 else bench).toArrow().combine_chunks()
+
+
+def _words_of(table: pa.Table) -> tuple[Words, Sequence]:
+    data, at = buffers(table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string()))
+    w = Words(LOWER[data], at, PUNCT)
+    return w, Sequence(w.hashes(), w.left())
+
+
+def _block(table: pa.Table, window: int) -> Block:
+    w, seq = _words_of(table)
+    names = table["item"].to_pylist()
+    length = w.counts[w.owner] if len(w) else np.zeros(0, np.int64)
+    begins = np.arange(len(w)) == w.first[w.owner] if len(w) else np.zeros(0, bool)
+    starts = np.flatnonzero((seq.left >= window) | (begins & (length < window)))
+    widths = np.minimum(length[starts], window)
+    distinct: dict[bytes, int] = {}
+    which = np.zeros(len(starts), np.int64)
+    at, wide, items = [], [], []
+    for j, (s, k) in enumerate(zip(starts.tolist(), widths.tolist(), strict=True)):
+        which[j] = i = distinct.setdefault(seq.words[s : s + k].tobytes(), len(at))
+        if i == len(at):
+            at.append(s), wide.append(k), items.append(set())
+        if names[w.owner[s]] is not None:
+            items[i].add(names[w.owner[s]])
+    place = np.empty(len(w), np.int64)
+    place[suffix_array(seq.words, seq.left, int(w.counts.max(initial=0)))] = np.arange(len(w))
+    by = np.lexsort((place[starts], which))
+    first = np.searchsorted(which[by], np.arange(len(at) + 1))
+    return Block(seq, np.array(at, np.int64), np.array(wide, np.int64), [sorted(x) for x in items], starts[by], first)
+
+
+def _bound(order: np.ndarray, shard: Sequence, block: Sequence, starts: np.ndarray, widths: np.ndarray, upper: bool) -> np.ndarray:
+    """For each stretch of the block, how many suffixes of the shard sort before it (upper: or begin with it)."""
+    lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), len(order), np.int64)
     while len(open_ := np.flatnonzero(lo < hi)):
         mid = (lo[open_] + hi[open_]) // 2
-        at, q, k = order[mid], block.starts[open_], block.widths[open_]
-        less = np.full(len(open_), upper)  # of the suffix against the window; equal so far counts as upper says
+        at, q, k = order[mid], starts[open_], widths[open_]
+        less = np.full(len(open_), upper)  # of the suffix against the stretch; equal so far counts as upper says
         live = np.arange(len(open_))
         for d in range(int(k.max(initial=0))):
             live = live[k[live] > d]
-            ended = left[at[live]] <= d
+            ended = shard.left[at[live]] <= d
             less[live[ended]] = True
             live = live[~ended]
-            a, b = words[at[live] + d], block.words[q[live] + d]
+            a, b = shard.words[at[live] + d], block.words[q[live] + d]
             less[live[a != b]] = (a < b)[a != b]
             live = live[a == b]
             if not len(live):
@@ -116,78 +133,170 @@ def _bound(order: np.ndarray, words: np.ndarray, left: np.ndarray, block: Block,
     return lo
 
 
-def _search(w: Words, h: np.ndarray, left: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Places (word positions) and the window found at each."""
-    if not len(h) or not len(block.starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = suffix_array(h, left, int(block.widths.max()))
-    lo, hi = (_bound(order, h, left, block, up) for up in (False, True))
+def _search(shard: Sequence, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (word positions), the window found at each, and the words of the longest verbatim match there."""
+    none = np.zeros(0, np.int64)
+    if not len(shard.words) or not len(block.starts):
+        return none, none, none
+    order = suffix_array(shard.words, shard.left, int(block.widths.max()))
+    lo, hi = (_bound(order, shard, block.text, block.starts, block.widths, up) for up in (False, True))
     size = hi - lo
     which = np.repeat(np.arange(len(lo)), size)
     inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    return order[lo[which] + inside], which
+    place = order[lo[which] + inside]
+    return place, which, _longest(shard, place, block, which)
+
+
+def _longest(shard: Sequence, place: np.ndarray, block: Block, which: np.ndarray) -> np.ndarray:
+    """The longest match of each place with a benchmark suffix of its window: those next to it in their order share most."""
+    lo, hi = block.first[which], block.first[which + 1]
+    begin, end = lo, hi
+    best = block.widths[which].copy()
+    while len(open_ := np.flatnonzero(lo < hi)):
+        mid = (lo[open_] + hi[open_]) // 2
+        at, there = place[open_], block.sorted[mid]
+        n = shard.common(at, block.text, there)
+        a = np.where(shard.left[at] > n, shard.words[np.minimum(at + n, len(shard.words) - 1)], 0)
+        b = np.where(block.text.left[there] > n, block.text.words[np.minimum(there + n, len(block.text.words) - 1)], 0)
+        ended = block.text.left[there] <= n  # the benchmark's suffix is a prefix of the place's: it sorts before, or is equal
+        below = ended | ((shard.left[at] > n) & (b < a))
+        lo, hi = lo.copy(), hi.copy()
+        lo[open_] = np.where(below, mid + 1, lo[open_])
+        hi[open_] = np.where(below, hi[open_], mid)
+    for side in (lo - 1, lo):
+        ok = np.flatnonzero((side >= begin) & (side < end))
+        best[ok] = np.maximum(best[ok], shard.common(place[ok], block.text, block.sorted[side[ok]]))
+    return best
+
+
+@dataclass
+class Found:
+    """What a chunk's rows hold of a block: hit words (a mask), names of items, the longest match and its first word."""
+
+    words: Words
+    hit: np.ndarray
+    items: list[set]
+    longest: np.ndarray
+    at: np.ndarray
+
+
+def _found(data: np.ndarray, at: np.ndarray, block: Block | None) -> Found:
+    w = Words(LOWER[data], at, PUNCT)
+    rows = len(at) - 1
+    items: list[set] = [set() for _ in range(rows)]
+    longest, first = np.zeros(rows, np.int64), np.full(rows, -1)
+    if block is None or not len(w):
+        return Found(w, np.zeros(len(w), bool), items, longest, first)
+    place, which, size = _search(Sequence(w.hashes(), w.left()), block)
+    step = np.zeros(len(w) + 1, np.int32)
+    np.add.at(step, place, 1)
+    np.add.at(step, place + size, -1)
+    own = w.owner[place]
+    for row, k in np.unique(np.stack([own, which]), axis=1).T.tolist():
+        items[row].update(block.items[k])
+    by = np.lexsort((place, -size, own))
+    lead = by[np.concatenate([[True], own[by][1:] != own[by][:-1]])] if len(by) else by
+    longest[own[lead]], first[own[lead]] = size[lead], place[lead] - w.first[own[lead]]
+    return Found(w, np.cumsum(step[:-1]) > 0, items, longest, first)
+
+
+def _spans(found: Found, row: int) -> bytes:
+    own = found.hit[found.words.first[row] : found.words.first[row + 1]]
+    if not own.any():
+        return b""
+    return np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]]))).astype(np.int64).tobytes()
+
+
+KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.binary()), ("longest", pa.int64()), ("longest_word", pa.int64())])
+
+
+def _result(found: Found, row: int) -> dict:
+    spans = _spans(found, row)
+    n_hit = int(np.diff(np.frombuffer(spans, np.int64).reshape(-1, 2)).sum())
+    items = sorted(found.items[row])
+    return {"n_words": int(found.words.counts[row]), "n_hit": n_hit, "n_items": len(items), "items": items, "hits": spans, "longest": int(found.longest[row]), "longest_word": int(found.at[row]) if found.at[row] >= 0 else None}
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", bench_text: str = "text", into: str = "contamination", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns of docs and a struct `into`: n_words, n_hit, n_items, items (names, sorted), hits (int64 word spans).
+    """The columns of docs and a struct `into`: n_words, n_hit, n_items, items (names, sorted), hits (int64 word spans), longest (words of the longest
+    verbatim match with one item, if it is a window or more, else 0), longest_word (where the first such match begins, from 0, else null).
 
     Words are runs of letters a-z (after lower-casing A-Z), digits and characters outside ASCII. A null or empty text has no words and no
     hits; items without words have no windows; an item without a name hits words but is not listed; rows that repeat are
-    decided each on its own; an empty benchmark hits nothing; a column of docs that is already called `into` is replaced.
+    decided each on its own; an empty benchmark hits nothing; a text of any length is one shard, whole; a column of docs that is already called `into` is
+    replaced, others stay, whatever their names; an empty table stays empty.
     """
     docs = docs.drop(into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StructType.fromDDL(RESULT))])
-    blocks = list(_blocks(bench, window, text=bench_text, item_id=item_id, block_bytes=block_bytes)) if block_bytes else []
-    out = docs
-    for i, block in enumerate(blocks):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        out = out.mapInArrow(_scanner(sent, text, into, first=i == 0), schema)
-    return out
+    context = docs.sparkSession.sparkContext
+    parts = _parts(bench, bench_text, item_id, block_bytes)
+    block, table = _block(next(parts), window), next(parts, None)
+    if table is None:
+        return docs.mapInArrow(_scanner(context.broadcast(block), text, into), schema)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
+    tables = []
+    while block is not None:
+        sent = context.broadcast(block)
+        tables.append(materialize(keyed.select("k", "text").mapInArrow(_hitter(sent), "k long, spans binary, items array<string>, longest long, longest_word long"), "hits"))
+        sent.destroy()
+        block, table = (None if table is None else _block(table, window)), next(parts, None)
+    hits = tables[0]
+    for t in tables[1:]:
+        hits = hits.unionByName(t)
+    hits = materialize(hits.dropDuplicates().groupBy("k").agg(F.collect_list(F.struct("spans", "items", "longest", "longest_word")).alias("found")), "found")  # one entry a block
+    discard(*tables)
+    schema = T.StructType([keyed.schema["row"], T.StructField(into, T.StructType.fromDDL(RESULT))])
+    return keyed.join(hits, "k", "left").select("row", "text", "found").mapInArrow(_merger(into), schema).select("row.*", into)
+
+
+def _scanner(sent, text: str, into: str):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, at in chunks(batch, text):
+                found = _found(data, at, sent.value)
+                rows = [_result(found, row) for row in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, KIND)], names=[*part.schema.names, into])
 
+    return scan
 
-def _scanner(sent, text: str, into: str, first: bool):
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.binary())])
+
+def _hitter(sent):
+    """k and what a block hits, for the rows that it hits."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
         for batch in batches:
-            for part, data, at in chunks(batch, text):
-                w = Words(LOWER[data], at, PUNCT)
-                h, left = w.hashes(), w.left()
-                place, which = _search(w, h, left, block)
-                step = np.zeros(len(w) + 1, np.int32)
-                np.add.at(step, place, 1)
-                np.add.at(step, place + block.widths[which], -1)
-                found: list[set] = [set() for _ in range(part.num_rows)]
-                for row, k in np.unique(np.stack([w.owner[place], which]), axis=1).T.tolist():
-                    found[row].update(block.items[k])
-                if not first:
-                    for row, old in enumerate(part.column(part.schema.get_field_index(into)).to_pylist()):
-                        spans = np.frombuffer(old["hits"], np.int64) + w.first[row]
-                        np.add.at(step, spans[::2], 1)
-                        np.add.at(step, spans[1::2], -1)
-                        found[row].update(old["items"])
-                hit = np.cumsum(step[:-1]) > 0
-                n_hit = np.bincount(w.owner[hit], minlength=part.num_rows)
-                rows = []
-                for row in range(part.num_rows):
-                    spans = b""
-                    if n_hit[row]:
-                        inside = np.concatenate([[0], hit[w.first[row] : w.first[row + 1]].view(np.int8), [0]])
-                        edge = np.flatnonzero(np.diff(inside))
-                        spans = edge.astype(np.int64).tobytes()
-                    rows.append({"n_words": int(w.counts[row]), "n_hit": int(n_hit[row]), "n_items": len(found[row]), "items": sorted(found[row]), "hits": spans})
-                names = [n for n in part.schema.names if n != into]
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(rows, kind)], names=[*names, into])
+            for part, data, at in chunks(batch, "text"):
+                found = _found(data, at, sent.value)
+                rows = np.flatnonzero(found.longest > 0)
+                columns = [part.column(0).take(pa.array(rows)), pa.array([_spans(found, r) for r in rows], pa.binary()), pa.array([sorted(found.items[r]) for r in rows], pa.list_(pa.string())), pa.array(found.longest[rows]), pa.array(found.at[rows])]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "spans", "items", "longest", "longest_word"])
 
     return scan
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, max_share: float = 0.0, **how) -> DataFrame:
-    """docs without the documents whose words are hit in more than max_share of all; columns as they were."""
-    into = how.setdefault("into", "_contamination")
-    keep = F.col(f"{into}.n_hit") <= max_share * F.col(f"{into}.n_words")
-    return contamination(docs, bench, **how).where(keep).select(*docs.columns)
+def _merger(into: str):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, at in chunks(batch, "text"):
+                found = _found(data, at, None)
+                for row, blocks in enumerate(part.column(2).to_pylist()):
+                    for x in blocks or ():
+                        for a, b in np.frombuffer(x["spans"], np.int64).reshape(-1, 2) + found.words.first[row]:
+                            found.hit[a:b] = True
+                        found.items[row].update(x["items"])
+                        if (x["longest"], -x["longest_word"]) > (found.longest[row], -found.at[row]):
+                            found.longest[row], found.at[row] = x["longest"], x["longest_word"]
+                rows = [_result(found, row) for row in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, KIND)], names=["row", into])
+
+    return scan
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, max_share: float = 0.0, text: str = "text", **how) -> DataFrame:
+    """docs without the documents of whose words verbatim matches of a window or more cover more than max_share; columns as they were, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    found = contamination(rows, bench, text="text", into="found", **how)
+    return found.where(F.col("found.n_hit") <= max_share * F.col("found.n_words")).select("row.*")
 
 
 def items_digest(names: list[str]) -> str:
@@ -197,41 +306,49 @@ def items_digest(names: list[str]) -> str:
 def longest_matches(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", bench_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each benchmark suffix the longest verbatim match over all shards: item_id (string), item_word, length, doc_id, doc_word.
 
-    Suffixes that match nowhere are left out; of equally long matches the smallest (doc_id, doc_word) among the shards' own is given.
+    Suffixes that match nowhere are left out; of equally long matches the smallest (doc_id, doc_word) among the shards' own is given (a null id first). Ids may be of any
+    type. A task gives at most one row for each suffix.
     """
-    out = None
-    for block in _blocks(bench, 1 << 30, bench_text, item_id, block_bytes):
-        # with so wide a window each item is one window: the items' starts, whence all their suffixes
-        flat = [(name, d) for s, k, names in zip(block.starts.tolist(), block.widths.tolist(), block.items, strict=True) for name in names for d in [(s, k)]]
-        sent = docs.sparkSession.sparkContext.broadcast((block.words, flat, block.longest))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            words, items, longest = sent.value
-            for batch in batches:
-                for part, data, at in chunks(batch, "text"):
-                    w = Words(LOWER[data], at, PUNCT)
-                    h, left = w.hashes(), w.left()
-                    if not len(h):
-                        continue
-                    order = suffix_array(h, left, longest)
-                    ids = part.column(0)
-                    rows = []
-                    for name, (s, k) in items:
-                        q = Block(words, np.arange(s, s + k), np.arange(k, 0, -1), [], k)
-                        lo = _bound(order, h, left, q, False)
-                        for j in range(k):
-                            best = (0, 0)
-                            for at_ in (order[i] for i in (lo[j] - 1, lo[j]) if 0 <= i < len(order)):
-                                m = int(min(k - j, left[at_]))
-                                same = h[at_ : at_ + m] == words[s + j : s + j + m]
-                                best = max(best, (m if same.all() else int(np.argmin(same)), -int(at_)))
-                            if best[0]:
-                                row = int(w.owner[-best[1]])
-                                rows.append((name, j, best[0], ids[row].as_py(), -best[1] - int(w.first[row])))
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["item_id", "item_word", "length", "doc_id", "doc_word"])
-
-        found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, "item_id string, item_word long, length long, doc_id long, doc_word long")
-        out = found if out is None else out.unionByName(found)
-    best = out.groupBy("item_id", "item_word").agg(F.max_by(F.struct("length", "doc_id", "doc_word"), F.struct("length", -F.col("doc_id"), -F.col("doc_word"))).alias("b"))
-    return best.select("item_id", "item_word", "b.*")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    tables = []
+    for table in _parts(bench, bench_text, item_id, block_bytes):
+        words, seq = _words_of(table)
+        named = [n for n, k in zip(table["item"].to_pylist(), words.counts.tolist(), strict=True) for _ in range(k)]
+        sent = docs.sparkSession.sparkContext.broadcast((seq, named, np.arange(len(words)) - (words.first[words.owner] if len(words) else 0), int(words.counts.max(initial=0))))
+        tables.append(materialize(docs.mapInArrow(_matcher(sent), f"item_id string, item_word long, length long, doc_id {kind}, doc_word long"), "matches"))
+        sent.destroy()
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    best = out.where("item_id IS NOT NULL").groupBy("item_id", "item_word").agg(F.min(F.struct((-F.col("length")).alias("n"), "doc_id", "doc_word")).alias("b"))
+    return best.select("item_id", "item_word", (-F.col("b.n")).alias("length"), "b.doc_id", "b.doc_word")
+
+
+def _matcher(sent):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, named, inside, longest = sent.value
+        every = np.arange(len(block.words))
+        best, place, ids = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64), np.full(len(every), None, object)
+        kind = pa.null()
+        for batch in batches:
+            kind = batch.column(0).type
+            for part, data, at in chunks(batch, "text"):
+                w = Words(LOWER[data], at, PUNCT)
+                if not len(w) or not len(every):
+                    continue
+                shard = Sequence(w.hashes(), w.left())
+                order = suffix_array(shard.words, shard.left, longest)
+                lo = _bound(order, shard, block, every, block.left, False)
+                for side in (lo, lo - 1):
+                    ok = np.flatnonzero((side >= 0) & (side < len(order)))
+                    n = block.common(every[ok], shard, order[side[ok]])
+                    more = n > best[ok]
+                    at_ = order[side[ok[more]]]
+                    best[ok[more]], place[ok[more]] = n[more], at_ - w.first[w.owner[at_]]
+                    ids[ok[more]] = np.array([*part.column(0).take(pa.array(w.owner[at_])).to_pylist(), None], object)[:-1]
+        some = np.flatnonzero(best)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array([named[i] for i in some], pa.string()), pa.array(inside[some]), pa.array(best[some]), pa.array(ids[some].tolist(), kind), pa.array(place[some])], names=["item_id", "item_word", "length", "doc_id", "doc_word"])
+
+    return scan

@@ -37,6 +37,19 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
+_INVERSE = np.ones(1, U)
+
+
+def powers_inverse(n: int) -> np.ndarray:
+    """BASE**0 .. BASE**-(n-1) modulo 2**64."""
+    global _INVERSE
+    if len(_INVERSE) < n:
+        steps = np.full(n, pow(BASE, -1, 1 << 64), U)
+        steps[0] = 1
+        _INVERSE = np.cumprod(steps, dtype=U)
+    return _INVERSE[:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> U(30))
@@ -146,3 +159,25 @@ def minimizers(g: np.ndarray, span: int) -> np.ndarray:
     best = np.minimum(ahead[: n - span + 1], back[span - 1 : n])
     best &= U((1 << bits) - 1)
     return best.astype(np.int64)
+
+
+class Sequence:
+    """Hashed words with prefix sums, so that any two stretches can be compared at once; left: words from each place to the end of its row."""
+
+    def __init__(self, words: np.ndarray, left: np.ndarray):
+        self.words, self.left = words, left
+        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(words * powers(len(words)), dtype=U)])
+        self.inverse = powers_inverse(len(words))
+
+    def _stretch(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (self.sums[at + n] - self.sums[at]) * self.inverse[at]
+
+    def common(self, at: np.ndarray, other: Sequence, there: np.ndarray) -> np.ndarray:
+        """How many words the suffixes at `at` share with the other's at `there`, for each pair: by halving, on hashes."""
+        lo, hi = np.zeros(len(at), np.int64), np.minimum(self.left[at], other.left[there])
+        while len(open_ := np.flatnonzero(lo < hi)):
+            mid = (lo[open_] + hi[open_] + 1) // 2
+            same = self._stretch(at[open_], mid) == other._stretch(there[open_], mid)
+            lo[open_] = np.where(same, mid, lo[open_])
+            hi[open_] = np.where(same, hi[open_], mid - 1)
+        return lo

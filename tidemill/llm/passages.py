@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import BASE, SPACE, U, Words, buffers, chunks, minimizers, mix, powers, windows
+from .flat import SPACE, U, Words, buffers, chunks, minimizers, mix, powers, powers_inverse, windows
 from .shared import discard, materialize
 
 PIECE = 1 << 20  # units in work at once
@@ -80,18 +80,6 @@ def _stretches(unit: Unit, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[n
         lo += step
 
 
-_INVERSE = np.ones(1, U)
-
-
-def powers_inverse(n: int) -> np.ndarray:
-    global _INVERSE
-    if len(_INVERSE) < n:
-        steps = np.full(n, pow(BASE, -1, 1 << 64), U)
-        steps[0] = 1
-        _INVERSE = np.cumprod(steps, dtype=U)
-    return _INVERSE[:n]
-
-
 def _anchors(unit: Unit):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
