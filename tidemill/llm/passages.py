@@ -5,12 +5,12 @@ The search is exact and made in steps whose shuffles follow the repeated part of
 1. anchors: each window chooses the smallest hash of its q-unit pieces. Equal windows choose the same piece, so
    a window can only repeat where its anchor's piece does. The windows of a text that share an anchor are neighbours; one row
    (anchor, hash of the stretch they cover, text, start, count) stands for them.
-2. rows whose anchor occurs once are dropped. Rows whose whole stretch occurs elsewhere are repeated, all of them,
-   whatever the size of the group: an aggregate with partial sums decides that.
-3. what is left are anchors with several different stretches. One stretch of each kind is cut out of its text and goes to a
-   shard by its anchor; there a `solver` (suffix arrays or suffix trees) finds the windows that repeat between stretches.
+2. rows whose anchor occurs once are dropped. Equal stretches are one kind with a weight (1, or 2 for two places and more), by an aggregate
+   with partial results, whatever the size of the group.
+3. one stretch of each kind is cut out of its text and goes to a shard by its anchor; there a `solver` (suffix arrays or suffix trees)
+   finds the windows that repeat, in other stretches or by the weight of their own.
    An anchor with more than `crowd` kinds, such as a line that very many texts hold between other words, is split:
-   each of its windows goes by its own hash instead, and a count decides.
+   each of its windows goes by its own hash instead, and a count decides (the one case that no solver sees).
 4. spans are gathered by text, merged, and cut out.
 
 Texts are told apart by 64-bit hashes of theirs, so exact copies are one text with a count; a repeated text repeats
@@ -109,7 +109,7 @@ def _cutter(unit: Unit):
                         lo = first[row] + q["s"]
                         hi = lo + q["n"] - 1 + unit.width
                         text = data[w.starts[lo] : w.ends[hi - 1]] if unit.words else data[lo:hi]
-                        out.append((q["a"], q["c"], q["n"], text.tobytes()))
+                        out.append((q["a"], q["c"], q["n"], q["w"], text.tobytes()))
                         size += len(text)
                         if size > 8 << 20:
                             yield _asked(out)
@@ -121,12 +121,12 @@ def _cutter(unit: Unit):
 
 
 def _asked(rows: list[tuple]) -> pa.RecordBatch:
-    a, c, n, x = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(x, pa.binary())], names=["a", "c", "n", "x"])
+    a, c, n, w, x = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(w, pa.int32()), pa.array(x, pa.binary())], names=["a", "c", "n", "w", "x"])
 
 
-#: From the units of several stretches (values, offsets, windows in each) to whether the window that starts at a unit repeats.
-Solver = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: From the units of several stretches (values, offsets, windows in each, weight of each) to whether the window that starts at a unit repeats.
+Solver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def _solved(unit: Unit, solver: Solver):
@@ -137,7 +137,7 @@ def _solved(unit: Unit, solver: Solver):
         data, at = buffers(group["x"].combine_chunks())
         count = group["n"].to_numpy()
         h, first, _ = _units(unit, data, at)
-        hit = solver(h, first, count)
+        hit = solver(h, first, count, group["w"].to_numpy())
         # maximal runs of repeated starts, as offsets in their stretch
         hit = np.concatenate([hit, [False]])
         inside = np.arange(len(hit)) - np.concatenate([np.repeat(first[:-1], np.diff(first)), [0]])
@@ -162,7 +162,8 @@ def _exploded(unit: Unit):
                 n = part.column(2).to_numpy()
                 row = np.repeat(np.arange(len(n)), n)
                 off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(off.astype(np.int32)), pa.array(w[first[row] + off].view(np.int64))], names=["a", "c", "lo", "w"])
+                of = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(off.astype(np.int32)), part.column(3).take(of), pa.array(w[first[row] + off].view(np.int64))], names=["a", "c", "lo", "many", "w"])
 
     return scan
 
@@ -177,30 +178,30 @@ def repeated_spans(docs: DataFrame, unit: Unit, solver: Solver, crowd: int = 20_
     occ = materialize(docs.select("k", "text").where(F.octet_length("text") >= unit.width).mapInArrow(_anchors(unit), "a long, c long, k long, s int, n int"), "anchors")
     place = F.xxhash64("k", "s")
     twice = occ.select("a", place.alias("x")).groupBy("a").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo != hi").select("a")
+    twice = materialize(twice, "twice")  # read from files, a join with it can split a hot anchor
     alive = materialize(occ.join(twice, "a"), "alive")
-    discard(occ)
-    kinds = materialize(alive.groupBy("a", "c").agg(F.min(F.struct("k", "s", "n")).alias("one"), (F.min(place) != F.max(place)).alias("whole")), "kinds")
-    whole = alive.join(kinds.where("whole").select("a", "c"), ["a", "c"]).select("k", F.col("s").alias("lo"), (F.col("s") + F.col("n") - 1 + unit.width).alias("hi"))
+    discard(occ, twice)
+    kinds = materialize(alive.groupBy("a", "c").agg(F.min(F.struct("k", "s", "n")).alias("one"), F.when(F.min(place) != F.max(place), 2).otherwise(1).alias("w")), "kinds")
     # step 3
-    several = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    asked = kinds.select("a", "c", "one.*").join(several, "a").select("k", F.struct("a", "c", "s", "n").alias("q")).groupBy("k").agg(F.collect_list("q").alias("asked"))
+    crowded = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > crowd).select("a")
+    asked = kinds.select("a", "c", "w", "one.*").select("k", F.struct("a", "c", "s", "n", "w").alias("q")).groupBy("k").agg(F.collect_list("q").alias("asked"))
     firsts = docs.groupBy("k").agg(F.min("doc_id").alias("d"))  # copies of a text would all be asked; one doc_id is
     asked = asked.join(firsts, "k").select("k", "asked", "d")
     texts = docs.join(asked.withColumnRenamed("k", "k2"), (F.col("k") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "asked")
-    cut = materialize(texts.mapInArrow(_cutter(unit), "a long, c long, n int, x binary"), "stretches")
+    cut = materialize(texts.mapInArrow(_cutter(unit), "a long, c long, n int, w int, x binary"), "stretches")
     size = cut.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
-    crowded = several.where(F.col("m") > crowd).select("a")
+    crowded = materialize(crowded, "crowded")
     few = cut.join(crowded, "a", "left_anti").withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int"))
     found = few.groupBy("shard").applyInArrow(_solved(unit, solver), "a long, c long, lo int, hi int")
-    wide = cut.join(crowded, "a", "left_semi").select("a", "c", "n", "x").dropDuplicates(["a", "c"]).mapInArrow(_exploded(unit), "a long, c long, lo int, w long")
-    equal = wide.groupBy("w").agg(F.min(F.xxhash64("a", "c", "lo")).alias("x"), F.max(F.xxhash64("a", "c", "lo")).alias("y")).where("x != y").select("w")
+    wide = cut.join(crowded, "a", "left_semi").select("a", "c", "n", "w", "x").dropDuplicates(["a", "c"]).mapInArrow(_exploded(unit), "a long, c long, lo int, many int, w long")
+    equal = wide.groupBy("w").agg(F.min(F.xxhash64("a", "c", "lo")).alias("x"), F.max(F.xxhash64("a", "c", "lo")).alias("y"), F.max("many").alias("many")).where("x != y OR many > 1").select("w")
     found = found.unionByName(wide.join(equal, "w").select("a", "c", "lo", (F.col("lo") + unit.width).alias("hi")))
     found = materialize(found, "found")
-    discard(cut)
+    discard(cut, crowded, kinds)
     inner = alive.join(found, ["a", "c"]).select("k", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi"))
-    spans = materialize(whole.unionByName(inner).distinct().groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    discard(alive, kinds, found)
+    spans = materialize(inner.distinct().groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    discard(alive, found, free=True)
     return spans, docs.groupBy("k").agg(F.count(F.lit(1)).alias("copies"))
 
 

@@ -17,7 +17,7 @@ from .passages import Unit, cut
 def repeated_starts(width: int, limit: int = 128 << 20):
     """A solver over bytes: whether the `width` bytes at a place also start at another one."""
 
-    def solve(data: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def solve(data: np.ndarray, first: np.ndarray, count: np.ndarray, weight: np.ndarray) -> np.ndarray:
         n, rows = len(data), len(count)
         hit = np.zeros(n, bool)
         if not n:
@@ -30,7 +30,7 @@ def repeated_starts(width: int, limit: int = 128 << 20):
         start[np.arange(n) + row] = np.arange(n) - first[row] < count[row]
         run = np.cumsum(lcp < width) - 1
         ok = start[order]
-        many = np.bincount(run[ok], minlength=int(run[-1]) + 1) > 1
+        many = np.bincount(run[ok], weight[row[(np.cumsum(text != 1) - 1)[order[ok]]]], minlength=int(run[-1]) + 1) > 1
         found = order[ok][many[run[ok]]].astype(np.int64)
         at = np.cumsum(text != 1) - 1
         hit[at[found]] = True
