@@ -13,51 +13,75 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+Build = Callable[[Column], Column]
+Merge = Callable[[Column, Column], Column]
+
+
 @dataclass(frozen=True)
 class Aggregate:
-    """name and a builder from a value column to an aggregate column; finish is applied to the aggregated value."""
+    """A name, parts (each a builder from a value column to an aggregate column, and the aggregate that totals results of it, None if they do not combine), and finish,
+    applied to the results of the parts."""
 
     name: str
-    build: Callable[[Column], Column]
-    finish: Callable[[Column], Column] = lambda c: c
+    parts: tuple[tuple[Build, Build | None], ...]
+    finish: Callable[..., Column] = lambda c: c
 
     def column(self, value: Column) -> Column:
-        return self.finish(self.build(value))
+        return self.finish(*[build(value) for build, _ in self.parts])
 
     def over(self, value: Column, window) -> Column:
-        return self.finish(self.build(value).over(window))
+        return self.finish(*[build(value).over(window) for build, _ in self.parts])
+
+    @property
+    def combines(self) -> bool:
+        return all(total is not None for _, total in self.parts)
+
+
+def _one(name: str, build: Build, total: Build | None, finish: Callable[..., Column] = lambda c: c) -> Aggregate:
+    return Aggregate(name, ((build, total),), finish)
+
+
+def _or_zero(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0.0))
+
+
+def _zeros(ignore_nulls: bool) -> Build:
+    return lambda v: v.cast("double") if ignore_nulls else F.coalesce(v.cast("double"), F.lit(0.0))
 
 
 def count() -> Aggregate:
-    return Aggregate("count", lambda v: F.count(F.lit(1)))
+    return _one("count", lambda v: F.count(F.lit(1)), F.sum)
 
 
 def sum_long() -> Aggregate:
-    return Aggregate("sum", lambda v: F.sum(F.coalesce(v.cast("bigint"), F.lit(0).cast("bigint"))), lambda c: F.coalesce(c, F.lit(0).cast("bigint")))
+    return _one("sum", lambda v: F.sum(F.coalesce(v.cast("bigint"), F.lit(0).cast("bigint"))), F.sum, lambda c: F.coalesce(c, F.lit(0).cast("bigint")))
 
 
 sum_int = sum_long
 
 
 def sum_double(ignore_nulls: bool = False) -> Aggregate:
-    return Aggregate("sum", lambda v: F.sum(v.cast("double") if ignore_nulls else F.coalesce(v.cast("double"), F.lit(0.0))), lambda c: F.coalesce(c, F.lit(0.0)))
+    value = _zeros(ignore_nulls)
+    return _one("sum", lambda v: F.sum(value(v)), F.sum, _or_zero)
 
 
 def average(ignore_nulls: bool = False) -> Aggregate:
-    return Aggregate("average", lambda v: F.avg(v.cast("double") if ignore_nulls else F.coalesce(v.cast("double"), F.lit(0.0))), lambda c: F.coalesce(c, F.lit(0.0)))
+    value = _zeros(ignore_nulls)
+    parts = ((lambda v: F.sum(value(v)), F.sum), (lambda v: F.count(value(v)), F.sum))
+    return Aggregate("average", parts, lambda total, n: F.when(n > 0, total / n).otherwise(F.lit(0.0)))
 
 
 def minimum() -> Aggregate:
-    return Aggregate("min", F.min)
+    return _one("min", F.min, F.min)
 
 
 def maximum() -> Aggregate:
-    return Aggregate("max", F.max)
+    return _one("max", F.max, F.max)
 
 
 def last_by(order: Column) -> Aggregate:
     """The value of the row with the greatest order."""
-    return Aggregate("last", lambda v: F.max_by(v, order))
+    return _one("last", lambda v: F.max_by(v, order), None)
 
 
 def user_defined(name: str, zero: Column, add: Callable[[Column, Column], Column], result: Callable[[Column], Column] = lambda c: c, order: Column | None = None) -> Aggregate:
@@ -75,7 +99,26 @@ def user_defined(name: str, zero: Column, add: Callable[[Column, Column], Column
         values = c if order is None else F.transform(c, lambda x: x["v"])
         return F.aggregate(values, zero, add, result)
 
-    return Aggregate(name, build, finish)
+    return _one(name, build, None, finish)
+
+
+@dataclass(frozen=True)
+class Accumulator:
+    """A user's aggregate that combines: zero, add (accumulator, value), merge (two accumulators), result. For keyed.combined(), which folds pieces of a group and merges those."""
+
+    zero: Column
+    add: Callable[[Column, Column], Column]
+    merge: Merge
+    result: Callable[[Column], Column] = lambda c: c
+
+    def fold(self, values: Column) -> Column:
+        """One accumulator from an array of values."""
+        return F.aggregate(values, self.zero, self.add)
+
+    def combine(self, accumulators: Column) -> Column:
+        """One accumulator from an array of them, left to right; null for an empty one."""
+        rest = F.slice(accumulators, 2, F.greatest(F.size(accumulators) - 1, F.lit(0)))
+        return F.aggregate(rest, F.get(accumulators, F.lit(0)), self.merge)
 
 
 def stats(value: Column, digits: int = 4) -> list[Column]:

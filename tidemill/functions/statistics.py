@@ -1,10 +1,10 @@
-"""Statistics for anomaly detection, rates and severities, as column expressions over ordering windows."""
+"""Statistics for anomaly detection, rates and severities, as column expressions."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -21,22 +21,18 @@ DEFAULT, SENSITIVE = Sensitivity(), Sensitivity(2.0, 0.3, 0.2)
 LEVELS = ("NORMAL", "MEDIUM", "HIGH", "CRITICAL")
 
 
-def z_score(x: Column, recent: WindowSpec) -> Column:
-    """Distance from the mean of the recent rows (this one included) in population standard deviations; 0 without spread."""
-    mean = F.avg(x).over(recent)
-    std = F.sqrt(F.greatest(F.lit(0.0), F.avg(x * x).over(recent) - mean * mean))
+def z_score(x: Column, mean: Column, std: Column) -> Column:
+    """Distance from the mean in standard deviations; 0 without spread."""
     return F.when(std > 1e-9, F.abs(x - mean) / std).otherwise(F.lit(0.0))
 
 
-def change_rate(x: Column, recent: WindowSpec) -> Column:
-    """Relative change against the oldest of the recent rows; from 0, the largest double for a positive value and 0 for others."""
-    old = F.first(x).over(recent)
+def change_rate(x: Column, old: Column) -> Column:
+    """Relative change against an older value; from 0, the largest double for a positive value and 0 for others."""
     return F.when(old == 0, F.when(x > 0, F.lit(1.7976931348623157e308)).otherwise(F.lit(0.0))).otherwise((x - old) / old)
 
 
-def seasonal_deviation(x: Column, around: WindowSpec) -> Column:
-    """Relative deviation from the mean of what came one season ago (the window); 0 without history."""
-    mean = F.avg(x).over(around)
+def seasonal_deviation(x: Column, mean: Column) -> Column:
+    """Relative deviation from the mean of what came one season ago; 0 without history (a null mean)."""
     return F.when(mean.isNull(), F.lit(0.0)).when(mean == 0, F.when(x > 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(F.abs(x - mean) / F.abs(mean))
 
 
@@ -71,3 +67,10 @@ def optimal_window(rate: float, median: float, p99: float, target: float = 2000.
     size = target * rate / 1000 * (1 + steer)
     tail = p99 / max(median, 1.0)
     return size * (1 + min((tail - 3) * 0.1, 0.3)) if tail > 3 else size
+
+
+def optimal_window_column(rate: Column, median: Column, p99: Column, target: float = 2000.0) -> Column:
+    """optimal_window() of columns."""
+    size = target * rate / 1000 * (1 + 0.37 * (target - median) / target)
+    tail = p99 / F.greatest(median, F.lit(1.0))
+    return F.when(tail > 3, size * (1 + F.least((tail - 3) * 0.1, F.lit(0.3)))).otherwise(size)

@@ -6,42 +6,91 @@ Linear recurrences run as windows. The two controllers that branch on their own
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import statistics as st
+from .ordered import framed, numbered
 
 HOUR = 3_600_000
+DAY = 24 * HOUR
+FRAME = 1 << 16  # rows of a block in which frames are computed
 
 
-def recent(keys: list[str], order: list[str], rows: int = 1000):
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - rows, 0)
+def framed_by_key(df: DataFrame, keys: list[str], order: list[str], rows: int, compute, block: int = FRAME) -> DataFrame:
+    """compute(df, partition columns), which may look `rows` rows of the key back by the column _n (numbered from 0), in blocks: neither a hot key nor a long history is one task."""
+    df = numbered(df, order, "_n", keys=keys).withColumn("_n", F.col("_n") - 1)
+    return framed(df, "_n", rows, compute, block, keys).drop("_n")
 
 
-def season_ago(keys: list[str], ms: str, season: int = HOUR, reach: int = 60_000):
-    """Rows whose time is less than reach away from one season before this row's."""
-    return Window.partitionBy(*keys).orderBy(ms).rangeBetween(-season - reach + 1, -season + reach - 1)
+def _frame_stats(x: str, rows: int):
+    """Adds mean, std (population), low, high, n and oldest of the last `rows` rows, in time linear in the rows.
+
+    Sums are differences of running sums; extremes are those of two halves: from the frame's first row to the end of its stretch of `rows` rows, and from the
+    beginning of the own stretch to the row.
+    """
+
+    def compute(df: DataFrame, part: list[str]) -> DataFrame:
+        v = F.col(x).cast("double")
+        line = Window.partitionBy(*part).orderBy("_n")
+        far = line.rowsBetween(Window.unboundedPreceding, 0)
+        zero = F.lit(0.0)
+        df = df.withColumns({"_s": F.sum(F.coalesce(v, zero)).over(far), "_ss": F.sum(F.coalesce(v * v, zero)).over(far), "_c": F.count(x).over(far), "_f": F.floor(F.col("_n") / rows)})
+        stretch = Window.partitionBy(*part, "_f")
+        up, down = stretch.orderBy("_n").rowsBetween(Window.unboundedPreceding, 0), stretch.orderBy(F.col("_n").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({"_lo": F.min(x).over(up), "_hi": F.max(x).over(up)})
+        df = df.withColumns({"_lo2": F.min(x).over(down), "_hi2": F.max(x).over(down)})
+        less = lambda c: F.col(c) - F.coalesce(F.lag(c, rows).over(line), F.lit(0))
+        df = df.withColumns({"_a": less("_s"), "_b": less("_ss"), "n": less("_c"), "_l": F.lag("_lo2", rows - 1).over(line), "_h": F.lag("_hi2", rows - 1).over(line), "_o": F.lag(x, rows - 1).over(line), "_first": F.first(x).over(far)})
+        mean = F.when(F.col("n") > 0, F.col("_a") / F.col("n"))
+        df = df.withColumns({"mean": mean, "std": F.sqrt(F.greatest(zero, F.col("_b") / F.col("n") - mean * mean)), "low": F.least("_lo", "_l"), "high": F.greatest("_hi", "_h"), "oldest": F.when(F.col("_n") < rows - 1, F.col("_first")).otherwise(F.col("_o"))})
+        return df.drop("_s", "_ss", "_c", "_f", "_lo", "_hi", "_lo2", "_hi2", "_a", "_b", "_l", "_h", "_o", "_first")
+
+    return compute
 
 
-def sliding_stats(df: DataFrame, keys: list[str], order: list[str], x: str, rows: int = 1000) -> DataFrame:
-    """df with mean, std (population), low, high and n of the last rows of the key, this one included."""
-    w = recent(keys, order, rows)
-    mean = F.avg(x).over(w)
-    std = F.sqrt(F.greatest(F.lit(0.0), F.avg(F.col(x) * F.col(x)).over(w) - mean * mean))
-    return df.select("*", mean.alias("mean"), std.alias("std"), F.min(x).over(w).alias("low"), F.max(x).over(w).alias("high"), F.count(x).over(w).alias("n"))
+def sliding_stats(df: DataFrame, keys: list[str], order: list[str], x: str, rows: int = 1000, block: int = FRAME) -> DataFrame:
+    """df with mean, std (population), low, high, n and oldest of the last rows of the key, this one included; nulls count for none but n's rows."""
+    return framed_by_key(df, keys, order, rows, _frame_stats(x, rows), block)
 
 
-def anomalies(df: DataFrame, keys: list[str], order: list[str], ms: str, x: str, s: st.Sensitivity = st.DEFAULT, rows: int = 1000) -> DataFrame:
-    """df with z, change, seasonal, points and level of each value against its key's history (a day at most is kept by the caller's filter)."""
-    w = recent(keys, order, rows)
-    out = df.withColumn("z", st.z_score(F.col(x), w)).withColumn("change", st.change_rate(F.col(x), w)).withColumn("seasonal", st.seasonal_deviation(F.col(x), season_ago(keys, ms)))
-    out = out.withColumn("points", st.score(F.col("z"), F.col("change"), F.col("seasonal"), s))
+def seasonal_mean(df: DataFrame, keys: list[str], ms: str, x: str, into: str, season: int = HOUR, reach: int = 60_000, keep: int = DAY) -> DataFrame:
+    """df with the mean of x over the key's rows whose time is less than reach away from one season before this row's, and not more than keep before it; null without any.
+
+    Times are cut into blocks of six seasons, each with what it needs of the one before.
+    """
+    back, long = min(season + reach - 1, keep), 6 * (season + reach)
+    own = F.floor(F.col(ms) / long)
+    places = F.when(F.pmod(F.col(ms), F.lit(long)) >= long - back, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = df.withColumn("_own", own).withColumn("_block", F.explode(places))
+    around = Window.partitionBy(*keys, "_block").orderBy(ms).rangeBetween(-back, -season + reach - 1)
+    return spread.withColumn(into, F.avg(x).over(around)).where("_block = _own").drop("_block", "_own")
+
+
+def anomalies(df: DataFrame, keys: list[str], order: list[str], ms: str, x: str, s: st.Sensitivity = st.DEFAULT, rows: int = 1000, keep: int = DAY, block: int = FRAME) -> DataFrame:
+    """df with z, change, seasonal, points and level of each value against its key's last rows and what came an hour ago; history older than keep counts for nothing there."""
+    out = seasonal_mean(sliding_stats(df, keys, order, x, rows, block), keys, ms, x, "_season", keep=keep)
+    v = F.col(x)
+    out = out.withColumns({"z": st.z_score(v, F.col("mean"), F.col("std")), "change": st.change_rate(v, F.col("oldest")), "seasonal": st.seasonal_deviation(v, F.col("_season"))})
+    out = out.withColumn("points", st.score(F.col("z"), F.col("change"), F.col("seasonal"), s)).drop("_season", "mean", "std", "low", "high", "n", "oldest")
     return out.withColumn("level", st.level(F.col("points")))
 
 
+def retained(df: DataFrame, keys: list[str], ms: str, keep: int = DAY) -> DataFrame:
+    """The rows that are not more than keep ms older than their key's latest."""
+    newest = df.groupBy(*keys).agg(F.max(ms).alias("_newest"))
+    own = newest.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_newest")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(own, same).where(F.col(ms) >= F.col("_newest") - keep).select(*df.columns)
+
+
 def arrival_rate(df: DataFrame, keys: list[str], ms: str, bucket: int = 1000) -> DataFrame:
     """Rows a second in each time bucket that has any."""
     at = (F.col(ms) - F.pmod(F.col(ms), F.lit(bucket))).alias("bucket_start")
@@ -86,11 +135,15 @@ def pid(df: DataFrame, keys: list[str], order: list[str], error: Column, into: s
     return df.withColumn(into, out).drop("_e")
 
 
-def latency_percentiles(df: DataFrame, keys: list[str], order: list[str], latency: str, rows: int = 1000) -> DataFrame:
+def latency_percentiles(df: DataFrame, keys: list[str], order: list[str], latency: str, rows: int = 1000, block: int = FRAME) -> DataFrame:
     """df with median, p95 and p99 of the key's last latencies: element int(n * share) of the sorted ones."""
-    seen = F.array_sort(F.collect_list(latency).over(recent(keys, order, rows)))
-    df = df.withColumn("_seen", seen)
-    return df.select("*", *[st.percentile_of(F.col("_seen"), p).alias(n) for n, p in (("median", 0.5), ("p95", 0.95), ("p99", 0.99))]).drop("_seen")
+
+    def compute(part: DataFrame, by: list[str]) -> DataFrame:
+        frame = Window.partitionBy(*by).orderBy("_n").rowsBetween(1 - rows, 0)
+        part = part.withColumn("_seen", F.array_sort(F.collect_list(latency).over(frame)))
+        return part.withColumns({n: st.percentile_of(F.col("_seen"), p) for n, p in (("median", 0.5), ("p95", 0.95), ("p99", 0.99))}).drop("_seen")
+
+    return framed_by_key(df, keys, order, rows, compute, block)
 
 
 @dataclass
@@ -116,51 +169,62 @@ class Pid:
         self.total = self.last = 0.0
 
 
-def rate_limits(samples: list[tuple[float, float]], target: float = 200.0, top: float = 100_000.0, bottom: float = 1000.0) -> list[tuple[float, str]]:
-    """(rate limit, severity) after each (rate, latency) sample.
+UNLIMITED = float(2**31 - 1)
+
 
-    The average latency is the integer mean so far. The limit moves a tenth of the way to what would meet the target, steered by a controller that
-    starts anew when the error turns positive; it begins at the top and stays within its bounds.
+def rate_limits(samples: list[tuple[float, float]], target: int = 500, top: int = 100_000, bottom: int = 1000) -> list[tuple[float, str]]:
+    """(rate limit, severity) after each (rate, latency) sample; unlimited and NORMAL before the first.
+
+    The mean latency is that of all samples so far, in whole milliseconds; while it is 0 nothing changes. The limit moves a tenth of the way to what would meet the
+    target, steered by a controller that starts anew when the error turns positive; below one row a second the latency alone decides and the
+    controller rests. Limits are whole numbers within their bounds, and begin at the top.
     """
-    control, limit, seen, total, was, out = Pid(), top, 0, 0, 0.0, []
-    for rate, latency in samples:
-        seen, total = seen + 1, total + int(latency)
+    control, limit, level, total, was, out = Pid(clamp=30.0), None, "NORMAL", 0, 0.0, []
+    for seen, (rate, latency) in enumerate(samples, 1):
+        total += int(latency)
         average = total // seen
-        error = (target - average) / target
         if average > 0:
-            if rate < 1:
-                predicted = top * target / average
-            else:
-                if was <= 0 < error:
-                    control.reset()
-                predicted = rate * target / average * (1 + control.step(error))
-            limit = max(bottom, min(top, limit + 0.1 * (predicted - limit)))
-        was = error
-        out.append((limit, "NORMAL" if error > -0.1 else "MEDIUM" if error > -0.3 else "HIGH" if error > -0.6 else "CRITICAL"))
+            error = (target - average) / target
+            if was <= 0 < error:
+                control.reset()
+            was = error
+            wanted = int(top * (target / average)) if rate < 1 else int(rate * target / average * (1 + control.step(error)))
+            now = top if limit is None else limit
+            limit = max(bottom, min(top, int(now + 0.1 * (wanted - now))))
+            level = "NORMAL" if error > -0.1 else "MEDIUM" if error > -0.3 else "HIGH" if error > -0.6 else "CRITICAL"
+        out.append((UNLIMITED if limit is None else float(limit), level))
     return out
 
 
-def window_sizes(samples: list[tuple[int, float, float]], start: float = 5000.0, every: int = 10_000, low: float = 1000.0, high: float = 300_000.0, keep: int = 1000) -> list[tuple[float, float]]:
-    """(window size, allowed disorder) in ms after each (ms, rate, latency) sample, from the last `keep` latencies.
+def window_sizes(samples: list[tuple[int, float, float]], start: int = 5000, every: int = 10_000, low: int = 1000, high: int = 300_000, keep: int = 1000, target: int = 2000) -> list[tuple[float, float]]:
+    """(window size, allowed disorder) in whole ms after each (ms, rate, latency) sample, from the last `keep` latencies.
 
-    Adjusted at the first sample and then when more than `every` ms have passed: a tenth of the way to the optimal size, if that
-    changes it by over a tenth.
+    Looked at at the first sample and then when more than `every` ms have passed: a tenth of the way to the optimal size (statistics.optimal_window, with a
+    controller that remembers); both change only if that moves the size by over a tenth.
     """
-    size, disorder, last, recent_, out = start, 5000.0, None, [], []
+    control, size, disorder, looked, recent_, out = Pid(), start, 5000, 0, deque(maxlen=keep), []
     for ms, rate, latency in samples:
-        recent_ = [*recent_, latency][-keep:]
-        if last is None or ms - last > every:
-            last, s = ms, sorted(recent_)
+        recent_.append(int(latency))
+        if ms - looked > every:
+            looked, s = ms, sorted(recent_)
             n = len(s)
-            median, p95, p99 = s[n // 2], s[min(n - 1, int(n * 0.95))], s[min(n - 1, int(n * 0.99))]
-            new = max(low, min(high, size + 0.1 * (st.optimal_window(rate, median, p99) - size)))
-            if abs(new - size) / size > 0.1:
-                size = new
-            disorder = max(100.0, min(60_000.0, 1.2 * p95))
-        out.append((size, disorder))
+            median, p95, p99 = s[n // 2], s[int(n * 0.95)], s[int(n * 0.99)]
+            best = int(target * rate / 1000 * (1 + control.step((target - median) / target)))
+            tail = p99 / max(median, 1)
+            if tail > 3:
+                best = int(best * (1 + min((tail - 3) * 0.1, 0.3)))
+            new = max(low, min(high, int(size + 0.1 * (best - size))))
+            if abs(new - size) > size * 0.1:
+                size, disorder = new, max(100, min(60_000, int(p95 * 1.2)))
+        out.append((float(size), float(disorder)))
     return out
 
 
+def adaptive_starts(ms: Column, size: Column) -> Column:
+    """The start of the window of a row's time, by the size that holds for it: tumbling windows of a changing size."""
+    return ms - F.pmod(ms, size)
+
+
 def folded(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fold, outputs: str) -> DataFrame:
     """df with the outputs of a sequential fold over each key's rows in order (fold: list of input tuples to list of output tuples)."""
     names = [p.split()[0] for p in outputs.split(",")]
@@ -173,5 +237,5 @@ def folded(df: DataFrame, keys: list[str], order: list[str], inputs: list[str],
             table = table.append_column(name, pa.array([g[i] for g in got], kind))
         return table
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + outputs
+    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(outputs).fields])
     return df.groupBy(*keys).applyInArrow(run, schema)

@@ -1,23 +1,58 @@
-"""Watermarks as columns: the batch replay of what a stream would have seen, row by row, in arrival order.
-
-Rows need a dense arrival number (operators.ordered.numbered) and event time in milliseconds.
-"""
+"""Watermarks as columns: the batch replay of what a stream would have seen, row by row, in arrival order."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import BLOCK, next_min, running_max
+from .ordered import BLOCK, Run, count_rows, next_min, running_all, running_max
+
+VALUES = 1 << 20  # milliseconds of watermarks in a block
+
+
+@dataclass(frozen=True)
+class WatermarkStrategy:
+    """When a row happened (ms since the epoch) and which watermark it carries: a null carries none; watermarks never fall."""
+
+    time: Column
+    mark: Column
+
+    @staticmethod
+    def bounded(time: Column, delay: int) -> WatermarkStrategy:
+        """The largest time so far minus delay."""
+        return WatermarkStrategy(time, time - delay)
+
+    @staticmethod
+    def ascending(time: Column) -> WatermarkStrategy:
+        return WatermarkStrategy(time, time)
+
+    @staticmethod
+    def punctuated(time: Column, carries: Column, delay: int = 0) -> WatermarkStrategy:
+        """Only rows for which `carries` holds send a watermark."""
+        return WatermarkStrategy(time, F.when(carries, time - delay))
+
+
+def _marked(out: DataFrame) -> DataFrame:
+    """wm, previous_wm and emits, from the running watermark with and without the row."""
+    return out.withColumn("emits", F.col("wm").isNotNull() & (F.col("previous_wm").isNull() | (F.col("wm") > F.col("previous_wm"))))
+
+
+def _runs(mark: Column) -> dict[str, Run]:
+    return {"wm": Run(F.max, mark, F.greatest), "previous_wm": Run(F.max, mark, F.greatest, before=True)}
+
+
+def replay(df: DataFrame, order: list[str], strategy: WatermarkStrategy, block: int = BLOCK) -> DataFrame:
+    """df with ms, rn (arrival number from 1), wm (the watermark after the row), previous_wm (before it, null at first) and emits (whether the row moved it), in one pass."""
+    df = df.withColumn("ms", strategy.time)
+    return _marked(running_all(df, order, {"rn": count_rows(), **_runs(strategy.mark)}, block=block))
 
 
 def bounded_out_of_orderness(df: DataFrame, rn: str = "rn", ms: str = "ms", delay: int = 0, block: int = BLOCK) -> DataFrame:
-    """df with wm (largest time so far minus delay), previous_wm (null at first) and emits (whether the row moved it)."""
-    out = running_max(df, [rn], F.col(ms), "_max", block).withColumn("wm", F.col("_max") - delay).drop("_max")
-    # the row before is found by its number: an equi-join, not a window over everything
-    out = out.join(out.select((F.col(rn) + 1).alias(rn), F.col("wm").alias("previous_wm")), rn, "left")
-    return out.withColumn("emits", F.col("previous_wm").isNull() | (F.col("wm") > F.col("previous_wm")))
+    """df, which has an arrival number, with wm (largest time so far minus delay), previous_wm (null at first) and emits (whether the row moved it)."""
+    return _marked(running_all(df, [rn], _runs(F.col(ms) - delay), block=block))
 
 
 def ascending(df: DataFrame, rn: str = "rn", ms: str = "ms", block: int = BLOCK) -> DataFrame:
@@ -51,40 +86,67 @@ def late(df: DataFrame) -> Column:
     return F.coalesce(F.col("ms") < F.col("previous_wm"), F.lit(False))
 
 
+def late_counts(df: DataFrame, lateness: int = 0) -> DataFrame:
+    """One row: records, late (below the watermark they met) and dropped (by more than lateness)."""
+    behind = F.col("previous_wm") - F.col("ms")
+    return df.agg(F.count(F.lit(1)).alias("records"), F.count_if(behind > 0).alias("late"), F.count_if(behind > lateness).alias("dropped"))
+
+
+def last(df: DataFrame, delay: int = 0, ms: str = "ms") -> Column:
+    """The last watermark, as a scalar subquery: it is computed when the plan runs; null without rows."""
+    return df.agg(F.max(ms)).scalar() - delay
+
+
 def closed(df: DataFrame, end: str, delay: int = 0, ms: str = "ms") -> Column:
-    """A condition on window ends: the last watermark reached the window's last millisecond. Needs one pass over the times."""
-    last = df.agg(F.max(ms)).first()[0]
-    return F.col(end) - 1 <= F.lit(last if last is not None else -(1 << 62)) - delay
+    """A condition on window ends: the last watermark reached the window's last millisecond."""
+    return F.col(end) - 1 <= last(df, delay, ms)
 
 
-def first_close(ends: DataFrame, moved: DataFrame, end: str = "window_end", rn: str = "rn", block: int = 1 << 32) -> DataFrame:
-    """end and first_close (arrival number of the first watermark >= end - 1) for each end that one closes.
+def panes(df: DataFrame, rn: str = "rn", end: str = "window_end", block: int = VALUES) -> DataFrame:
+    """df (rows assigned to windows, with wm, previous_wm and emits) with pane: the arrival number of the watermark that fires the row's result.
 
-    Ends and watermarks are laid on one line, by value, and each end takes the next watermark: an as-of step and no join by inequality.
+    A row's result is fired by the first watermark from its arrival on that reaches its window's last millisecond. Before that window fired this is the first that is
+    large enough; afterwards (the row opens a fresh pane) it is the next that moves, which is the first above the one that the row met. So
+    each row asks for the first watermark of at least max(end - 1, previous + 1), and takes the next one on a line of questions and watermarks by
+    value, in blocks of `block` ms: no join by inequality. Rows that nothing fires are left out.
     """
-    line = ends.select((F.col(end) - 1).alias("at"), F.lit(None).cast("bigint").alias("sent"), F.col(end)).unionByName(moved.select(F.col("wm").alias("at"), F.col(rn).alias("sent"), F.lit(None).cast("bigint").alias(end)))
-    line = line.withColumn("tie", F.when(F.col("sent").isNull(), 0).otherwise(1))
-    return next_min(line, ["at", "tie", "sent"], F.col("sent"), "first_close", block).where(F.col(end).isNotNull() & F.col("first_close").isNotNull()).select(end, "first_close")
+    row = F.struct(*df.columns)
+    asks = F.struct(F.greatest(F.col(end) - 1, F.col("previous_wm") + 1).alias("at"), F.lit(0).alias("tie"), F.lit(None).cast("bigint").alias("sent"), row.alias("row"))
+    sends = F.struct(F.col("wm").alias("at"), F.lit(1).alias("tie"), F.col(rn).cast("bigint").alias("sent"), F.lit(None).cast(df.schema).alias("row"))
+    line = df.select(F.explode(F.when(F.col("emits"), F.array(asks, sends)).otherwise(F.array(asks))).alias("x")).select("x.*")
+    found = next_min(line, ["at", "tie"], F.col("sent"), "pane", block)
+    return found.where("tie = 0 AND pane IS NOT NULL").select("row.*", "pane")
 
 
-def panes(df: DataFrame, rn: str = "rn", end: str = "window_end", block: int = BLOCK) -> DataFrame:
-    """df (rows assigned to windows, with wm and emits) with pane: the arrival number of the watermark that fires the row's result.
+def partitioned_min(df: DataFrame, partition: str, partitions: list, rn: str = "rn", ms: str = "ms", delay: int = 0, block: int = BLOCK, idle: int | None = None, clock: str | None = None) -> DataFrame:
+    """df with global_wm: the smallest of the partitions' own watermarks, null until each has one; it never falls. The partitions are a given, short list.
 
-    Rows that arrive after their window fired open a new pane, which the next watermark fires. Rows that nothing fires are left out.
+    idle: a partition whose watermark has not moved for more than so many ms of the column `clock` (arrival time) is left out until it moves again; while all are idle
+    the watermark stays. A partition that never had a row counts from the first row's clock.
     """
-    moved = df.where("emits").select(rn, "wm").distinct()
-    ends = df.select(end).distinct()
-    df = next_min(df, [rn], F.when(F.col("emits"), F.col(rn)), "next_emit", block)
-    return df.join(first_close(ends, moved, end, rn), end).where(F.col("next_emit").isNotNull()).withColumn("pane", F.greatest("next_emit", "first_close")).drop("next_emit", "first_close")
-
-
-def partitioned_min(df: DataFrame, partition: str, partitions: list, rn: str = "rn", ms: str = "ms", delay: int = 0, block: int = BLOCK) -> DataFrame:
-    """df with global_wm: the smallest of the partitions' own watermarks, null until each has one. The partitions are a given, short list."""
-    names = []
-    for i, p in enumerate(partitions):
-        df = running_max(df, [rn], F.when(F.col(partition) == p, F.col(ms)), f"_p{i}", block)
-        names.append(f"_p{i}")
-    known = F.lit(True)
-    for n in names:
-        known = known & F.col(n).isNotNull()
-    return df.withColumn("global_wm", F.when(known, F.least(*names) - delay if len(names) > 1 else F.col(names[0]) - delay)).drop(*names)
+    mine = [F.col(partition).eqNullSafe(F.lit(p)) for p in partitions]
+    at = [F.when(m, F.col(ms)) for m in mine]
+    n = range(len(partitions))
+    runs = {f"_p{i}": Run(F.max, at[i], F.greatest) for i in n}
+    if idle is not None:
+        runs |= {f"_q{i}": Run(F.max, at[i], F.greatest, before=True) for i in n}
+    out = running_all(df, [rn], runs, block=block)
+    known, least = F.lit(True), F.lit(None).cast("bigint")
+    if idle is None:
+        for i in n:
+            known, least = known & F.col(f"_p{i}").isNotNull(), F.least(least, F.col(f"_p{i}"))
+        return out.withColumn("global_wm", F.when(known, least - delay)).drop(*runs)
+    moves = [F.when(mine[i] & (F.col(f"_q{i}").isNull() | (F.col(ms) > F.col(f"_q{i}"))), F.col(clock)) for i in n]
+    out = running_all(out, [rn], {f"_m{i}": Run(F.max, moves[i], F.greatest) for i in n} | {"_began": Run(F.min, F.col(clock), F.least)}, block=block)
+    for i in n:
+        active = F.col(clock) - F.coalesce(F.col(f"_m{i}"), F.col("_began")) <= idle
+        known = known & (~active | F.col(f"_p{i}").isNotNull())
+        least = F.least(least, F.when(active, F.col(f"_p{i}")))
+    out = out.withColumn("_now", F.when(known, least - delay))
+    return running_max(out, [rn], F.col("_now"), "global_wm", block).drop(*runs, *[f"_m{i}" for i in n], "_began", "_now")
+
+
+def partition_status(df: DataFrame, partition: str, ms: str = "ms", clock: str = "clock", delay: int = 0, idle: int = 60_000) -> DataFrame:
+    """One row a partition: its watermark, the clock at which it last moved, and whether it is idle at the last row's clock."""
+    by = df.groupBy(partition).agg((F.max(ms) - delay).alias("watermark"), F.min_by(clock, F.struct(-F.col(ms), F.col(clock))).alias("moved_at"))
+    return by.withColumn("idle", df.agg(F.max(clock)).scalar() - F.col("moved_at") > idle)

@@ -8,21 +8,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.windows import Count, Session
+from ..functions.triggers import Trigger, firings
+from ..functions.windows import Count, Global, Session
 from . import watermarks
+from .ordered import BLOCK, numbered
 
+FOREVER = 1 << 62  # the end of the global window
 
-def assign(df: DataFrame, assigner, ms: str = "ms") -> DataFrame:
-    """A row for each window of each row, with window_start and window_end; rows in no window go."""
+
+def assign(df: DataFrame, assigner, ms: str = "ms", keys: list[str] = ()) -> DataFrame:
+    """A row for each window of each row, with window_start and window_end; rows in no window go. Merging sessions are those of the key."""
+    if isinstance(assigner, Session) and assigner.merge:
+        return sessions(df, assigner.gap, list(keys), ms)
+    if isinstance(assigner, Global):
+        return df.withColumn("window_start", F.lit(-FOREVER)).withColumn("window_end", F.lit(FOREVER))
     return df.withColumn("window_start", F.explode(assigner.starts(F.col(ms)))).withColumn("window_end", F.col("window_start") + assigner.size)
 
 
 def sessions(df: DataFrame, gap: int, keys: list[str], ms: str = "ms") -> DataFrame:
-    """df with window_start and window_end of its merged session: islands of rows of a key at most `gap` apart."""
-    # islands of distinct (key, time) pairs: a hot time is one row, and session numbers run per key
+    """df with window_start and window_end of its merged session: islands of rows of a key at most `gap` apart. A key's rows are ordered in one task."""
     w = Window.partitionBy(*keys).orderBy(ms)
     marked = df.withColumn("_new", (F.col(ms) - F.lag(ms).over(w) > gap).cast("int"))
     island = F.sum(F.coalesce(F.col("_new"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -43,6 +52,26 @@ def aggregate(df: DataFrame, assigner, keys: list[str], columns: list[Column], e
     return out.where(watermarks.closed(df, "window_end", delay, ms)) if emit == "closed" else out
 
 
+def triggered(df: DataFrame, assigner, keys: list[str], trigger: Trigger, delay: int = 0, rn: str = "rn", ms: str = "ms", flush: bool = False) -> DataFrame:
+    """A row for each firing that a row is part of, with window_start, window_end and firing (numbered from 0 in its window): aggregate by those.
+
+    df needs the columns of watermarks.replay. The trigger sees the rows of a key's window one after another, so those meet in one task; only its decisions are made
+    there, aggregates of a firing are Spark's.
+    """
+    rows = assign(df, assigner, ms, keys).withColumn("_last", watermarks.last(df, delay, ms))
+    schema = T.StructType([*rows.schema.fields, T.StructField("_firings", T.ArrayType(T.LongType()))])
+
+    def decide(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by(rn)
+        now = table[trigger.clock].to_pylist() if trigger.clock else [None] * len(table)
+        seen = list(zip(table[ms].to_pylist(), table["previous_wm"].to_pylist(), now, strict=True))
+        out = firings(trigger, seen, table["window_end"][0].as_py(), table["_last"][0].as_py(), flush)
+        return table.append_column("_firings", pa.array(out, pa.list_(pa.int64())))
+
+    decided = rows.groupBy(*keys, "window_start", "window_end").applyInArrow(decide, schema)
+    return decided.withColumn("firing", F.explode("_firings")).drop("_firings", "_last")
+
+
 def gathered(value: Column, order: Column) -> Column:
     """The values of a group in arrival order, as an array."""
     return F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"])
@@ -62,8 +91,8 @@ def reduce(add: Callable[[Column, Column], Column], value: Column, order: Column
 def counted(df: DataFrame, count: Count, keys: list[str], order: list[str], columns: list[Column]) -> DataFrame:
     """Windows of count.size rows by arrival, per key; only complete ones fire. `n` numbers a key's windows from 0."""
     slide = count.slide or count.size
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    rows = df.withColumn("_rn", rn)
+    # numbered in blocks of a key: a hot key is no single task
+    rows = numbered(df, order, "_rn", BLOCK, keys).withColumn("_rn", F.col("_rn") - 1)
     last = F.floor(F.col("_rn") / slide)
     first = F.greatest(F.ceil((F.col("_rn") - count.size + 1) / slide), F.lit(0))
     rows = rows.withColumn("n", F.explode(F.when(first <= last, F.sequence(first.cast("bigint"), last.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,18 +12,36 @@ from pyspark.sql import functions as F
 from ..functions import aggregates as agg
 from ..functions import statistics as st
 from ..functions.time import epoch_ms, is_late
+from ..functions.triggers import ProcessingTime, Result, Trigger
 from ..functions.windows import Count, Global, Session, Sliding, Tumbling
 from ..operators import control, keyed, store, watermarks, windowed
-from ..operators.ordered import numbered
 from ..sources.readers import files, records, table
 from ..streaming import stateful
 from ..streaming import windows as live
-from ..streaming.runtime import run_available
+from ..streaming.runtime import run_available, shared_folder
 from . import scenarios
 from .stream import Stream, StreamConfig
 
 H = 3_600_000
 DELAY = H
+
+
+@dataclass(frozen=True)
+class FireOnTime(Trigger):
+    """Fires and purges when a watermark reaches the window's last millisecond."""
+
+    def on_event_time(self, watermark: int, end: int, state: dict) -> Result:
+        return Result.FIRE_AND_PURGE if watermark >= end - 1 else Result.CONTINUE
+
+
+@dataclass(frozen=True)
+class EachRow(Trigger):
+    """Fires for every row and keeps them all."""
+
+    def on_element(self, ms: int, end: int, state: dict) -> Result:
+        return Result.FIRE
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -54,10 +72,15 @@ def stream(spark: SparkSession, sf: str) -> Stream:
     return Stream(events(spark, sf).drop("ts"), order=("event_id",), config=StreamConfig(delay=DELAY))
 
 
+def disordered(spark: SparkSession, sf: str, **config) -> Stream:
+    """Events that arrive out of step with event time by up to 50 rows."""
+    df = events(spark, sf).drop("ts").withColumn("arrival", F.col("event_id") + F.pmod(F.col("event_id") * 7919, F.lit(50)))
+    return Stream(df, order=("arrival", "event_id"), config=StreamConfig(delay=DELAY, **config))
+
+
 def arrived(spark: SparkSession, sf: str) -> DataFrame:
     """Events in arrival order with rn, wm, previous_wm and emits."""
-    df = events(spark, sf).drop("ts").withColumn("arrival", F.col("event_id") + F.pmod(F.col("event_id") * 7919, F.lit(50)))
-    return watermarks.bounded_out_of_orderness(numbered(df, ["arrival", "event_id"]), delay=DELAY)
+    return disordered(spark, sf).with_watermarks()
 
 
 #: Added before rounding, so that exact halves round alike whatever the order of a sum.
@@ -94,10 +117,12 @@ def json_rows(spark, sf):
     return df.select("event_id", "k", F.lit(True).alias("processed"), F.pow("k", F.lit(2)).cast("double").alias("squared"))
 
 
-@query("SELECT CAST(event_type AS VARCHAR) AS key, CAST(event_id AS BIGINT) AS sequence_number, 0 AS latency FROM events")
+@query("SELECT CAST(event_type AS VARCHAR) AS key, CAST(event_id AS BIGINT) AS sequence_number, CAST(event_id * 7919 % 5000 AS BIGINT) AS latency FROM events")
 def record_envelope(spark, sf):
-    out = records(table(spark, sf, "events"), "event_type", "value", "ts", "event_id")
-    return out.select("key", "sequence_number", (F.unix_millis("processing_time") - F.unix_millis("event_time")).cast("int").alias("latency"))
+    """Envelopes of events that are processed up to five seconds after they happened; latency is processing time minus event time."""
+    df = table(spark, sf, "events").withColumn("seen", F.col("ts") + F.make_dt_interval(secs=F.pmod(F.col("event_id") * 7919, F.lit(5000)) / F.lit(1000).cast("decimal(9,0)")))
+    out = records(df, "event_type", "value", "ts", "event_id", processing="seen")
+    return out.select("key", "sequence_number", (F.unix_millis("processing_time") - F.unix_millis("event_time")).alias("latency"))
 
 
 @query(f"WITH {EV} SELECT user_id, count(*) AS n FROM (SELECT user_id FROM ev WHERE event_type = 'click' UNION ALL SELECT user_id FROM ev WHERE event_type = 'purchase') GROUP BY 1")
@@ -156,6 +181,33 @@ def keyed_running_ttl(spark, sf):
     return out.select("event_id", "user_id", r4("result").alias("result"))
 
 
+@query(SQL["keyed_running_ttl"].replace("round(sum(value) OVER (PARTITION BY user_id, life ORDER BY rn ROWS UNBOUNDED PRECEDING) + 1e-7, 4)", "max(value) OVER (PARTITION BY user_id, life ORDER BY rn ROWS UNBOUNDED PRECEDING)"))
+def keyed_reduce_ttl(spark, sf):
+    return disordered(spark, sf, ttl=6 * H).key_by("user_id").reduce(F.col("value"), builtin=F.max).df.select("event_id", "user_id", "result")
+
+
+@query("SELECT event_type, round(sum(value) / count(*) + 1e-7, 4) AS mean FROM events GROUP BY 1")
+def user_defined_combined(spark, sf):
+    """A user's aggregate with a merge: pieces of a key are folded apart and combined."""
+    zero = F.struct(F.lit(0.0).alias("total"), F.lit(0).cast("bigint").alias("n"))
+    add = lambda a, v: F.struct((a["total"] + v).alias("total"), (a["n"] + 1).alias("n"))
+    merge = lambda a, b: F.struct((a["total"] + b["total"]).alias("total"), (a["n"] + b["n"]).alias("n"))
+    mean = agg.Accumulator(zero, add, merge, lambda a: a["total"] / a["n"])
+    return stream(spark, sf).key_by("event_type").combine(mean, F.col("value"), "mean").df.select("event_type", r4("mean").alias("mean"))
+
+
+@query("SELECT event_id, value * 2 AS doubled FROM events WHERE event_type = 'click'")
+def keyed_map_filter(spark, sf):
+    """map and filter of keyed and windowed streams work on the stream below."""
+    s = stream(spark, sf).key_by("user_id").filter(F.col("event_type") == "click").window(Tumbling(H)).map(doubled=F.col("value") * 2)
+    return s.df.select("event_id", "doubled")
+
+
+@query("SELECT event_id, unnest(string_split(event_type, 'i')) AS piece FROM events")
+def flat_map(spark, sf):
+    return stream(spark, sf).flat_map("piece", F.split("event_type", "i")).df.select("event_id", "piece")
+
+
 # --- windows ----------------------------------------------------------------------------------------------------------
 
 
@@ -227,16 +279,9 @@ def window_reduce_max(spark, sf):
     return stream(spark, sf).window(Tumbling(H)).reduce(F.col("value"), builtin=F.max).df
 
 
-@query(f"WITH {EV} SELECT user_id, ms - ms % {24 * H} AS window_start, ms - ms % {24 * H} + {24 * H} AS window_end, arg_max(value, event_id) - arg_min(value, event_id) AS result FROM ev GROUP BY 1, 2, 3 HAVING window_end - 1 <= {LAST} AND count(*) = 2 ")
-def window_reduce_custom(spark, sf):
-    w = stream(spark, sf).key_by("user_id").window(Tumbling(24 * H))
-    both = w.aggregate(F.count(F.lit(1)).alias("n"), windowed.reduce(lambda a, v: v - a, F.col("value"), F.struct("event_id")).alias("result"))
-    return both.filter(F.col("n") == 2).df.drop("n")
-
-
 @query(f"WITH {EV} SELECT user_id, ms - ms % {24 * H} AS window_start, ms - ms % {24 * H} + {24 * H} AS window_end, count(*) AS n, list_reduce(list(value ORDER BY event_id), lambda a, v: v - a) AS result FROM ev GROUP BY 1, 2, 3 HAVING window_end - 1 <= {LAST}")
-def window_reduce_ordered(spark, sf):
-    """window_reduce_custom over all closed windows, whatever their number of rows."""
+def window_reduce_custom(spark, sf):
+    """A reduction that depends on the order, over all closed windows."""
     w = stream(spark, sf).key_by("user_id").window(Tumbling(24 * H))
     return w.aggregate(F.count(F.lit(1)).alias("n"), windowed.reduce(lambda a, v: v - a, F.col("value"), F.struct("event_id")).alias("result")).df
 
@@ -290,7 +335,8 @@ def late_records(spark, sf):
 
 @query(f"WITH {AR} SELECT 'late' AS side, count(*) AS cnt, round(sum(value) + 1e-7, 4) AS sum_value FROM e WHERE ms < previous_wm - {H} UNION ALL SELECT 'main', count(*), round(sum(value) + 1e-7, 4) FROM e WHERE NOT coalesce(ms < previous_wm - {H}, false)")
 def late_side_output(spark, sf):
-    main, late = windowed.split_late(arrived(spark, sf), H)
+    windows, late = disordered(spark, sf, lateness=H).window(Tumbling(H)).side_output_late()
+    main = windows.stream.df
     return late.agg(*sums()).withColumn("side", F.lit("late")).unionByName(main.agg(*sums()).withColumn("side", F.lit("main")))
 
 
@@ -306,15 +352,79 @@ def late_panes(spark, sf):
 
 @query(f"WITH {AR}, {PANES} SELECT user_id, ws AS window_start, we AS window_end, greatest(next_emit, first_close) AS pane, {SUMS} FROM n JOIN c USING (we) WHERE next_emit IS NOT NULL GROUP BY 1, 2, 3, 4")
 def late_panes_keyed(spark, sf):
-    df = events(spark, sf).drop("ts").withColumn("arrival", F.col("event_id") + F.pmod(F.col("event_id") * 7919, F.lit(50)))
-    return Stream(df, order=("arrival", "event_id"), config=StreamConfig(delay=DELAY)).key_by("user_id").window(Tumbling(H)).panes().aggregate(*sums()).df
+    return disordered(spark, sf).key_by("user_id").window(Tumbling(H)).panes().aggregate(*sums()).df
 
 
 @query(f"WITH {AR} SELECT ms - ms % {H} AS window_start, ms - ms % {H} + {H} AS window_end, {SUMS} FROM e WHERE NOT coalesce(ms < previous_wm - {H // 2}, false) GROUP BY 1, 2 HAVING window_end - 1 <= {LAST}")
 def allowed_lateness(spark, sf):
-    on_time, _ = windowed.split_late(arrived(spark, sf), H // 2)
-    out = windowed.assign(on_time, Tumbling(H)).groupBy("window_start", "window_end").agg(*sums())
-    return out.where(watermarks.closed(events(spark, sf), "window_end", DELAY))
+    return disordered(spark, sf).window(Tumbling(H)).allowed_lateness(H // 2).aggregate(*sums()).df
+
+
+@query(f"WITH {AR} SELECT ms - ms % {H} AS window_start, ms - ms % {H} + {H} AS window_end, {SUMS} FROM e WHERE NOT coalesce(ms < previous_wm, false) GROUP BY 1, 2 HAVING window_end - 1 <= {LAST}")
+def allowed_lateness_zero(spark, sf):
+    """An explicit 0 holds against the configuration's hour."""
+    return disordered(spark, sf, lateness=H).window(Tumbling(H)).allowed_lateness(0).aggregate(*sums()).df
+
+
+@query(f"WITH {AR} SELECT count(*) AS records, count(*) FILTER (WHERE ms < previous_wm) AS late, count(*) FILTER (WHERE ms < previous_wm - {H}) AS dropped FROM e")
+def late_counts(spark, sf):
+    return watermarks.late_counts(arrived(spark, sf), H)
+
+
+@query(f"WITH {AR}, {PANES} SELECT user_id, ws AS window_start, we AS window_end, {SUMS} FROM n JOIN c USING (we) WHERE next_emit IS NOT NULL GROUP BY user_id, ws, we, greatest(next_emit, first_close)")
+def trigger_event_time(spark, sf):
+    """Windows by an event-time trigger object: late rows fire again, in a firing of their own."""
+    out = disordered(spark, sf).key_by("user_id").window(Tumbling(H)).trigger(FireOnTime()).aggregate(*sums())
+    return out.df.drop("firing")
+
+
+@query(f"WITH {EV}, r AS (SELECT *, ms - ms % {24 * H} AS ws, row_number() OVER (PARTITION BY event_type, ms - ms % {24 * H} ORDER BY event_id) - 1 AS k FROM ev) SELECT event_type, ws AS window_start, ws + {24 * H} AS window_end, k // 7 AS firing, {SUMS} FROM r GROUP BY 1, 2, 3, 4 HAVING count(*) = 7")
+def trigger_count_in_window(spark, sf):
+    return stream(spark, sf).key_by("event_type").window(Tumbling(24 * H)).trigger(7).aggregate(*sums()).df
+
+
+@query(f"WITH {EV}, r AS (SELECT *, ms - ms % {24 * H} AS ws, row_number() OVER (PARTITION BY user_id, ms - ms % {24 * H} ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id, ms - ms % {24 * H}) AS m FROM ev), f AS (SELECT *, unnest(range(k - 1, m)) AS firing FROM r) SELECT user_id, ws AS window_start, ws + {24 * H} AS window_end, firing, {SUMS} FROM f GROUP BY 1, 2, 3, 4")
+def trigger_every_row_keeps(spark, sf):
+    """A trigger that fires for every row and purges nothing: each firing holds all rows so far."""
+    return stream(spark, sf).key_by("user_id").window(Tumbling(24 * H)).trigger(EachRow()).aggregate(*sums()).df
+
+
+@query(f"WITH {EV}, r AS (SELECT *, ms - ms % {H} AS ws FROM ev), c AS (SELECT ws, min(event_id) AS first FROM (SELECT DISTINCT ws FROM r) d JOIN (SELECT event_id, ms + event_id * 7919 % 5000 AS clock, ms FROM ev) p ON p.clock >= d.ws + {H} - 1 AND p.ms - p.ms % {H} = d.ws GROUP BY 1) SELECT ws AS window_start, {SUMS} FROM r JOIN c USING (ws) WHERE event_id <= first GROUP BY ws")
+def trigger_processing_time(spark, sf):
+    """The first firing of each hour by a clock that runs up to five seconds behind the events."""
+    s = stream(spark, sf).map(clock=F.col("ms") + F.pmod(F.col("event_id") * 7919, F.lit(5000)))
+    return s.window(Tumbling(H)).trigger(ProcessingTime(clock="clock")).aggregate(*sums()).df.where("firing = 0").drop("firing", "window_end")
+
+
+@query(f"WITH {AR}, {SESSIONS.replace('FROM ev)', 'FROM e)')}, s AS (SELECT *, max(ms) OVER (PARTITION BY user_id, island) + {2 * H} AS we, min(ms) OVER (PARTITION BY user_id, island) AS ws FROM i), q AS (SELECT *, greatest(we - 1, coalesce(previous_wm + 1, we - 1)) AS ask FROM s), m AS (SELECT rn AS pane, wm FROM e WHERE emits) SELECT user_id, ws AS window_start, we AS window_end, pane, {SUMS} FROM q ASOF JOIN m ON q.ask <= m.wm GROUP BY 1, 2, 3, 4")
+def session_panes(spark, sf):
+    return disordered(spark, sf).key_by("user_id").window(Session(2 * H)).panes().aggregate(*sums()).df
+
+
+@query(f"WITH {AR}, p AS (SELECT rn, max(CASE WHEN event_type = 'error' THEN ms - {2 * H} END) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) AS wm FROM ar) SELECT rn, wm FROM (SELECT *, lag(wm) OVER (ORDER BY rn) AS before FROM p) WHERE wm IS NOT NULL AND (before IS NULL OR wm > before)")
+def watermark_punctuated(spark, sf):
+    """A watermark strategy of one's own: only errors carry watermarks."""
+    strategy = watermarks.WatermarkStrategy.punctuated(F.col("ms"), F.col("event_type") == "error", 2 * H)
+    return watermarks.trace(disordered(spark, sf).assign_watermarks(strategy).with_watermarks()).select("rn", "wm")
+
+
+@query(f"WITH {AR}, a AS (SELECT rn, max(ms) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) AS wm, max(ms) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ar) SELECT rn, wm FROM a WHERE before IS NULL OR wm > before")
+def watermark_ascending(spark, sf):
+    strategy = watermarks.WatermarkStrategy.ascending(F.col("ms"))
+    return watermarks.trace(disordered(spark, sf).assign_watermarks(strategy).with_watermarks()).select("rn", "wm")
+
+
+@query(None)
+def partitioned_watermark_idle(spark, sf):
+    """The smallest watermark of ten partitions, those idle for over an hour left out; a replay row by row is the test."""
+    df = arrived(spark, sf).withColumns({"p": F.col("user_id") % 10, "clock": F.col("ms") + F.pmod(F.col("event_id") * 7919, F.lit(5000))})
+    return watermarks.partitioned_min(df, "p", list(range(10)), delay=DELAY, idle=H, clock="clock").select("rn", "global_wm")
+
+
+@query(f"WITH {EV}, c AS (SELECT user_id % 10 AS p, ms, ms + event_id * 7919 % 5000 AS clock FROM ev), s AS (SELECT p, max(ms) - {DELAY} AS watermark, arg_max(clock, ms) AS moved_at FROM c GROUP BY 1) SELECT *, (SELECT max(clock) FROM c) - moved_at > {H} AS idle FROM s")
+def partition_status(spark, sf):
+    df = events(spark, sf).withColumns({"p": F.col("user_id") % 10, "clock": F.col("ms") + F.pmod(F.col("event_id") * 7919, F.lit(5000))})
+    return watermarks.partition_status(df, "p", delay=DELAY, idle=H)
 
 
 @query(f"WITH {AR}, p AS (SELECT rn, max(CASE WHEN user_id % 3 = 0 THEN ms END) OVER o AS a, max(CASE WHEN user_id % 3 = 1 THEN ms END) OVER o AS b, max(CASE WHEN user_id % 3 = 2 THEN ms END) OVER o AS c FROM e WINDOW o AS (ORDER BY rn ROWS UNBOUNDED PRECEDING)) SELECT rn, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL THEN least(a, b, c) - {DELAY} END AS global_wm FROM p")
@@ -410,9 +520,9 @@ def sliding_stats(spark, sf):
     return out.select("event_id", r4("mean").alias("mean"), F.round("std", 3).alias("std"), "low", "high", "n")
 
 
-@query(f"WITH {EV}, {ANOMALY} SELECT event_id, round(z, 3) AS z FROM sc WHERE z > 1.5")
+@query(f"WITH {EV}, {ANOMALY} SELECT event_id, round(z, 3) AS z FROM sc WHERE z > 3")
 def anomaly_3sigma(spark, sf):
-    return scored(spark, sf).where("z > 1.5").select("event_id", F.round("z", 3).alias("z"))
+    return scored(spark, sf).where("z > 3").select("event_id", F.round("z", 3).alias("z"))
 
 
 @query(f"WITH {EV}, {ANOMALY} SELECT event_id, round(c + 1e-7, 4) AS change FROM sc WHERE abs(c) > 0.5")
@@ -444,18 +554,13 @@ def arrival_rate(spark, sf):
 
 
 @query(
-    f"""WITH RECURSIVE {EV}, g AS (SELECT event_id, event_type, row_number() OVER o AS k, ms - lag(ms) OVER o AS gap FROM ev WHERE event_type IN ('purchase') AND user_id < 15 WINDOW o AS (PARTITION BY event_type ORDER BY event_id)),
-r AS (SELECT event_id, k, CAST(0 AS DOUBLE) AS y FROM g WHERE k = 1 UNION ALL SELECT g.event_id, g.k, 0.3 * (1000.0 / greatest(g.gap, 1)) + 0.7 * r.y FROM g JOIN r ON g.k = r.k + 1) SELECT event_id, round(y, 9) AS ewma FROM r"""
+    f"""WITH {EV}, g AS (SELECT event_id, event_type, CASE WHEN lag(ms) OVER o IS NOT NULL THEN 1000.0 / greatest(ms - lag(ms) OVER o, 1) END AS x FROM ev WINDOW o AS (PARTITION BY event_type ORDER BY event_id)),
+l AS (SELECT event_id, event_type, list(x) FILTER (WHERE x IS NOT NULL) OVER (PARTITION BY event_type ORDER BY event_id ROWS 119 PRECEDING) AS v FROM g)
+SELECT event_id, event_type, round(coalesce(list_sum(list_transform(v, lambda x, i: 0.3 * x * pow(0.7, len(v) - i))), 0) + 1e-7, 4) AS ewma FROM l"""
 )
 def ewma_rate(spark, sf):
-    df = events(spark, sf).where("event_type = 'purchase' AND user_id < 15")
-    return control.ewma_rate(df, ["event_type"], ["event_id"], "ms").select("event_id", F.round("ewma", 9).alias("ewma"))
-
-
-@query(None)
-def ewma_rate_all(spark, sf):
-    """ewma_rate over all events; the recursion of its SQL is too slow for them, so a loop is the test."""
-    return control.ewma_rate(events(spark, sf), ["event_type"], ["event_id"], "ms").select("event_id", "event_type", F.round("ewma", 9).alias("ewma"))
+    """All events, by type. The SQL sums the last 120 rates, whose weights beyond are under 1e-18."""
+    return control.ewma_rate(events(spark, sf), ["event_type"], ["event_id"], "ms").select("event_id", "event_type", r4("ewma").alias("ewma"))
 
 
 @query("WITH x AS (SELECT event_id, user_id, (200 - value) / 200 AS e FROM events) SELECT event_id, round(0.3 * e + 0.05 * sum(e) OVER (o ROWS UNBOUNDED PRECEDING) + 0.02 * (e - lag(e, 1, 0) OVER o) + 1e-8, 6) AS pid FROM x WINDOW o AS (PARTITION BY user_id ORDER BY event_id)")
@@ -464,14 +569,8 @@ def pid_trace(spark, sf):
     return out.select("event_id", F.round(F.col("pid") + 1e-8, 6).alias("pid"))
 
 
-@query("WITH x AS (SELECT event_id, list_sort(list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 99 PRECEDING)) AS l FROM events) SELECT event_id, l[len(l) // 2 + 1] AS median, l[CAST(floor(len(l) * 0.95) AS BIGINT) + 1] AS p95, l[CAST(floor(len(l) * 0.99) AS BIGINT) + 1] AS p99 FROM x")
-def latency_percentiles(spark, sf):
-    return control.latency_percentiles(events(spark, sf), ["user_id"], ["event_id"], "value", rows=100).select("event_id", "median", "p95", "p99")
-
-
 @query("WITH x AS (SELECT event_id, list_sort(list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 999 PRECEDING)) AS l FROM events) SELECT event_id, l[len(l) // 2 + 1] AS median, l[CAST(floor(len(l) * 0.95) AS BIGINT) + 1] AS p95, l[CAST(floor(len(l) * 0.99) AS BIGINT) + 1] AS p99 FROM x")
-def latency_percentiles_1000(spark, sf):
-    """latency_percentiles over the operator's default of 1000 rows."""
+def latency_percentiles(spark, sf):
     return control.latency_percentiles(events(spark, sf), ["user_id"], ["event_id"], "value").select("event_id", "median", "p95", "p99")
 
 
@@ -488,7 +587,7 @@ def samples(spark, sf) -> DataFrame:
 
 @query(None)
 def backpressure_trace(spark, sf):
-    """A controller that branches on its own state: tested against the reading of its rules."""
+    """A controller that branches on its own state: a replay of its rules is the test."""
     out = control.folded(samples(spark, sf), ["event_type"], ["at"], ["rate", "latency"], control.rate_limits, "rate_limit double, severity string")
     return out.select("event_type", "at", F.round("rate_limit", 4).alias("rate_limit"), "severity")
 
@@ -499,10 +598,33 @@ def adaptive_window_trace(spark, sf):
     return out.select("event_type", "at", F.round("window_size", 4).alias("window_size"), F.round("disorder", 4).alias("disorder"))
 
 
-@query("SELECT CAST(10000 AS DOUBLE) AS at_target, true AS shrinks")
+@query(None)
+def adaptive_windows(spark, sf):
+    """Tumbling windows whose size is the adaptive one of the hour and type: the sizes of adaptive_window_trace, fed to an assigner."""
+    sizes = adaptive_window_trace(spark, sf).select(F.col("event_type").alias("t"), F.col("at").alias("hour"), F.col("window_size").cast("bigint").alias("size"))
+    ev = events(spark, sf).withColumn("at", F.col("ms") - F.pmod(F.col("ms"), F.lit(H)))
+    rows = ev.join(sizes, (F.col("event_type") == F.col("t")) & (F.col("at") == F.col("hour")))
+    start = control.adaptive_starts(F.col("ms"), F.col("size"))
+    return rows.groupBy("event_type", start.alias("window_start"), (start + F.col("size")).alias("window_end")).agg(*sums())
+
+
+@query(
+    f"""WITH {EV}, x AS (SELECT event_type, ms - ms % {H} AS hour, count(*)::DOUBLE AS rate, list_sort(list(value)) AS l FROM ev GROUP BY 1, 2),
+y AS (SELECT event_type, hour, rate, l[len(l) // 2 + 1] * 10 AS m, l[CAST(floor(len(l) * 0.99) AS BIGINT) + 1] * 10 AS t FROM x),
+z AS (SELECT *, 2 * rate * (1 + 0.37 * (2000 - m) / 2000) AS s, t / greatest(m, 1) AS r FROM y)
+SELECT event_type, hour, round(CASE WHEN r > 3 THEN s * (1 + least((r - 3) * 0.1, 0.3)) ELSE s END + 1e-7, 4) AS size FROM z"""
+)
 def optimal_window(spark, sf):
-    a, b, c = st.optimal_window(5000, 2000, 2000), st.optimal_window(5000, 200, 3000), st.optimal_window(5000, 2000, 2200)
-    return spark.createDataFrame([(a, b > c)], "at_target double, shrinks boolean")
+    """The optimal window size of each type and hour, from the number of its events and the median and 99th percentile of ten times their values."""
+    by = events(spark, sf).groupBy("event_type", (F.col("ms") - F.pmod(F.col("ms"), F.lit(H))).alias("hour"))
+    seen = by.agg(F.count(F.lit(1)).cast("double").alias("rate"), F.array_sort(F.collect_list("value")).alias("l"))
+    size = st.optimal_window_column(F.col("rate"), st.percentile_of(F.col("l"), 0.5) * 10, st.percentile_of(F.col("l"), 0.99) * 10)
+    return seen.select("event_type", "hour", r4(size).alias("size"))
+
+
+@query(f"WITH {EV}, n AS (SELECT event_type, max(ms) AS newest FROM ev GROUP BY 1) SELECT event_id FROM ev JOIN n USING (event_type) WHERE ms >= newest - {24 * H}")
+def history_retained(spark, sf):
+    return control.retained(events(spark, sf), ["event_type"], "ms").select("event_id")
 
 
 # --- business queries -------------------------------------------------------------------------------------------------
@@ -575,9 +697,8 @@ LIVE = f"HAVING window_end <= {LAST}"
 
 
 def _folder(spark) -> str:
-    """A folder for a run of a streaming query: under spark.checkpoint.dir, which driver and executors share, or local in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/tidemill-stream-{uuid.uuid4().hex}"
+    """A folder for a run of a streaming query."""
+    return f"{shared_folder(spark)}/tidemill-stream-{uuid.uuid4().hex}"
 
 
 def live_events(spark, sf) -> DataFrame:

@@ -12,10 +12,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import Aggregate
+from ..functions.aggregates import Accumulator, Aggregate
+from ..functions.triggers import Every, Trigger
 from ..functions.windows import Count, Global
 from ..operators import keyed, watermarks, windowed
-from ..operators.ordered import numbered
 from ..sources import sinks as out
 from ..streaming import windows as live
 
@@ -61,6 +61,11 @@ class Stream:
     order: tuple[str, ...] = ("sequence_number",)
     config: StreamConfig = StreamConfig()
     sinks: tuple = ()
+    strategy: watermarks.WatermarkStrategy | None = None
+
+    def assign_watermarks(self, strategy: watermarks.WatermarkStrategy) -> Stream:
+        """Take event times and watermarks from a strategy of one's own; the column ms gets the times."""
+        return replace(self, df=self.df.withColumn("ms", strategy.time), ms="ms", strategy=strategy)
 
     def with_config(self, config: StreamConfig) -> Stream:
         return replace(self, config=config)
@@ -94,7 +99,7 @@ class Stream:
 
     def with_watermarks(self) -> DataFrame:
         """The rows with rn, wm, previous_wm and emits, as a replay in arrival order."""
-        return watermarks.bounded_out_of_orderness(numbered(self.df, list(self.order)), ms=self.ms, delay=self.config.delay)
+        return watermarks.replay(self.df, list(self.order), self.strategy or watermarks.WatermarkStrategy.bounded(F.col(self.ms), self.config.delay))
 
     def add_sink(self, sink) -> Stream:
         return replace(self, sinks=(*self.sinks, sink))
@@ -130,8 +135,22 @@ class KeyedStream:
 
     def reduce(self, value: Column, add: Callable | None = None, builtin: Callable | None = None, into: str = "result") -> Stream:
         s = self.stream
+        if s.config.ttl:
+            return replace(s, df=keyed.reduce_with_ttl(s.with_watermarks(), self.keys, s.config.ttl, value, into, add, builtin, ms=s.ms))
         return replace(s, df=keyed.running_reduce(s.df, self.keys, list(s.order), value, into, add, builtin))
 
+    def combine(self, accumulator: Accumulator, value: Column, into: str = "result") -> Stream:
+        """The final result of a user's aggregate for each key, combined from pieces."""
+        return replace(self.stream, df=keyed.combined(self.stream.df, self.keys, accumulator, value, into))
+
+    def map(self, **columns: Column) -> Stream:
+        """On the stream below: the key is given up."""
+        return self.stream.map(**columns)
+
+    def filter(self, condition: Column) -> Stream:
+        """On the stream below: the key is given up."""
+        return self.stream.filter(condition)
+
     def totals(self, *columns: Column) -> Stream:
         return replace(self.stream, df=keyed.totals(self.stream.df, self.keys, list(columns)))
 
@@ -150,17 +169,30 @@ class WindowedStream:
     late: str = "ignore"
     lateness: int | None = None
     every: int | None = None
+    policy: Trigger | None = None
+
+    def trigger(self, when: int | Trigger) -> WindowedStream:
+        """Fire by a policy of one's own, or whenever so many rows of a key have come, and begin anew."""
+        return replace(self, policy=when) if isinstance(when, Trigger) else replace(self, every=when)
+
+    def map(self, **columns: Column) -> Stream:
+        """On the stream below: key and windows are given up."""
+        return self.stream.map(**columns)
 
-    def trigger(self, count: int) -> WindowedStream:
-        """Fire whenever `count` rows of a key have come; then begin anew."""
-        return replace(self, every=count)
+    def filter(self, condition: Column) -> Stream:
+        """On the stream below: key and windows are given up."""
+        return self.stream.filter(condition)
 
     def allowed_lateness(self, ms: int) -> WindowedStream:
+        """Rows more than ms behind the watermark that they meet are dropped; 0 drops all late ones."""
         return replace(self, lateness=ms, late="drop")
 
+    def _lateness(self) -> int:
+        return self.stream.config.lateness if self.lateness is None else self.lateness
+
     def side_output_late(self) -> tuple[WindowedStream, DataFrame]:
         """(this without the late rows, the late rows)."""
-        on_time, late = windowed.split_late(self.stream.with_watermarks(), self.lateness or self.stream.config.lateness)
+        on_time, late = windowed.split_late(self.stream.with_watermarks(), self._lateness())
         return replace(self, stream=replace(self.stream, df=on_time.drop("wm", "previous_wm", "emits", "rn")), late="ignore"), late
 
     def flushed(self) -> WindowedStream:
@@ -170,22 +202,29 @@ class WindowedStream:
         return replace(self, late="pane")
 
     def aggregate(self, *columns: Column, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> Stream:
-        """One row for each key and window (and pane), with the aggregate columns; `then` maps the results."""
+        """One row for each key and window (and pane or firing), with the aggregate columns; `then` maps the results."""
         s = self.stream
         if s.df.isStreaming:
             return replace(s, df=then(live.aggregate(s.df, s.ms, self.assigner, self.keys, list(columns), s.config.delay)))
+        policy = self.policy or (Every(rows=self.every) if self.every and not isinstance(self.assigner, (Count, Global)) else None)
+        if policy is not None:
+            rows = windowed.triggered(s.with_watermarks(), self.assigner, self.keys, policy, s.config.delay, ms=s.ms, flush=self.emit == "all")
+            return replace(s, df=then(rows.groupBy(*self.keys, "window_start", "window_end", "firing").agg(*columns)))
         if isinstance(self.assigner, Count) or isinstance(self.assigner, Global) and self.every:
             count = self.assigner if isinstance(self.assigner, Count) else Count(self.every)
             return replace(s, df=then(windowed.counted(s.df, count, self.keys, list(s.order), list(columns))))
         if isinstance(self.assigner, Global):
             return replace(s, df=then(s.df.groupBy(*self.keys).agg(*columns)))
         if self.late == "pane":
-            rows = watermarks.panes(windowed.assign(s.with_watermarks(), self.assigner, s.ms))
+            rows = watermarks.panes(windowed.assign(s.with_watermarks(), self.assigner, s.ms, self.keys))
             return replace(s, df=then(rows.groupBy(*self.keys, "window_start", "window_end", "pane").agg(*columns)))
         df = s.df
         if self.late == "drop":
-            df, _ = windowed.split_late(s.with_watermarks(), self.lateness or s.config.lateness)
-        return replace(s, df=then(windowed.aggregate(df, self.assigner, self.keys, list(columns), self.emit, s.config.delay, s.ms)))
+            df, _ = windowed.split_late(s.with_watermarks(), self._lateness())
+        out = windowed.aggregate(df, self.assigner, self.keys, list(columns), "all", s.config.delay, s.ms)
+        if self.emit == "closed":  # the last watermark is that of all rows, dropped ones too
+            out = out.where(watermarks.closed(s.df, "window_end", s.config.delay, s.ms))
+        return replace(s, df=then(out))
 
     def reduce(self, value: Column, add: Callable | None = None, builtin: Callable | None = None, into: str = "result") -> Stream:
         return self.aggregate((builtin(value) if builtin else windowed.reduce(add, value, self._order())).alias(into))

@@ -34,14 +34,14 @@ def collection(spark: SparkSession, values: Iterable, schema: str, event_time_ms
     return spark.createDataFrame(data, f"{schema}, sequence_number bigint, ms bigint")
 
 
-def records(df: DataFrame, key: str, value: str, ts: str, seq: str) -> DataFrame:
-    """Any table as envelopes: ordered by event time and sequence number, attributes empty."""
+def records(df: DataFrame, key: str, value: str, ts: str, seq: str, processing: str | None = None) -> DataFrame:
+    """Any table as envelopes: ordered by event time and sequence number, attributes empty. processing: the column with the time at which a row came and was processed (else its event time)."""
     return df.select(
         F.col(key).cast("string").alias("key"),
         F.col(value).cast("string").alias("value"),
         F.col(ts).cast("timestamp").alias("event_time"),
-        F.col(ts).cast("timestamp").alias("processing_time"),
-        F.col(ts).cast("timestamp").alias("ingestion_time"),
+        F.col(processing or ts).cast("timestamp").alias("processing_time"),
+        F.col(processing or ts).cast("timestamp").alias("ingestion_time"),
         F.create_map().cast("map<string,string>").alias("attributes"),
         F.lit(0).alias("partition"),
         F.col(seq).cast("bigint").alias("sequence_number"),
