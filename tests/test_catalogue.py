@@ -82,7 +82,7 @@ def test_adaptive_windows_replay_their_rules(spark, sf):
             median, p95, p99 = (s[len(s) // 2], s[trunc(len(s) * 0.95)], s[trunc(len(s) * 0.99)])
             error = (2000 - median) / 2000
             integral += error
-            best = trunc(2000 * rate / 1000 * (1 + 0.3 * error + 0.05 * integral + 0.02 * (error - previous)))
+            best = trunc(2000 * (rate * 3600) / 1000 * (1 + 0.3 * error + 0.05 * integral + 0.02 * (error - previous)))
             previous = error
             if p99 / max(median, 1) > 3:
                 best = trunc(best * (1 + min((p99 / max(median, 1) - 3) * 0.1, 0.3)))

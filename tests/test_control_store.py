@@ -27,9 +27,11 @@ def test_ewma_matches_its_recurrence(spark):
 
 
 def test_rate_limit_falls_under_load_and_recovers():
-    falls = control.rate_limits([(5000, 800)] * 30)
+    falls = control.rate_limits([(5000, 900)] * 30)
     assert falls[-1][0] < falls[0][0] and falls[-1][1] == "CRITICAL"
-    back = control.rate_limits([(5000, 800)] * 30 + [(5000, 1)] * 400)
+    assert control.rate_limits([(5000, 0)]) == [(control.UNLIMITED, "NORMAL")]
+    assert control.rate_limits([(0.5, 250), (0.5, 250)]) == [(100_000.0, "NORMAL"), (100_000.0, "NORMAL")]
+    back = control.rate_limits([(5000, 900)] * 30 + [(5000, 1)] * 400)
     assert back[-1][0] > falls[-1][0]
 
 
@@ -37,7 +39,7 @@ def test_window_size_changes_only_by_more_than_a_tenth():
     out = control.window_sizes([(i * 20_000, 5000.0, 200.0) for i in range(40)])
     sizes = [s for s, _ in out]
     assert all(a == b or abs(a - b) / a > 0.1 for a, b in zip(sizes, sizes[1:]))
-    assert out[0][1] == 240.0
+    assert out[0] == (5833.0, 240.0)
 
 
 def test_constant_values_are_normal(spark):
@@ -83,3 +85,75 @@ def test_file_topic_and_idempotent_batches(spark, tmp_path):
     write(out.select("key"), 4)
     write(out.select("key"), 4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_segments_of_like_sizes_merge(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "kv"))
+    rows = lambda data: spark.createDataFrame(data, "key string, value string, seq bigint, deleted boolean")
+    for i in range(4):
+        s.flush(rows([(f"k{j}", f"{i}", 10 * i + j, False) for j in range(5)]))
+    assert s.compact_some() == ["1", "2", "3", "4"] and [x.name for x in s.segments()] == ["4"]
+    assert s.compact_some() == [] and {r.value for r in store.latest(s.log()).collect()} == {"3"} and s.stats().first().versions == 5
+
+
+def test_memory_table_and_log(spark, tmp_path):
+    from tidemill.operators.memtable import Log, Tree
+
+    kv = store.Store(spark, str(tmp_path / "kv"))
+    t = Tree(kv, tmp_path / "wal", limit=50)
+    for i in range(60):
+        t.put(f"key{i:03d}", str(i))
+    assert len(t.table) == 10 and len(kv.segments()) == 1
+    t.put("key001", "new")
+    t.delete("key002")
+    again = Tree(kv, tmp_path / "wal")  # after a crash: the log gives the unflushed writes back
+    for tree in (t, again):
+        assert tree.get("key001") == "new" and tree.get("key002") is None and tree.get("key055") == "55" and tree.get("none") is None
+        assert tree.range("key000", "key003") == [("key000", "0"), ("key001", "new"), ("key003", "3")]
+    assert again.seq == t.seq == 62
+    again.flush()
+    assert store.get(kv.log(), "key002").count() == 0 and list(Log(tmp_path / "wal").replay()) == []
+    log = Log(tmp_path / "other")
+    log.append("a", "1", 1), log.append("b", None, 2)
+    with (tmp_path / "other").open("ab") as f:
+        f.write(b"half a record")
+    assert list(Log(tmp_path / "other").replay()) == [("a", "1", 1), ("b", None, 2)]
+    log = Log(tmp_path / "other")
+    log.append("c", "", 3)
+    assert list(log.replay())[-1] == ("c", "", 3)
+
+
+def test_pull_sources(spark):
+    from tidemill.sources.pull import pull, pull_source
+
+    source = pull_source("numbers", "part int, n bigint", lambda i: ((i, n) for n in range(3)), 2, poll=lambda at: ([(0, n) for n in range(at, min(at + 2, 5))], min(at + 2, 5)))
+    assert sorted(tuple(r) for r in pull(spark, source).collect()) == [(i, n) for i in range(2) for n in range(3)]
+    q = pull(spark, source, streaming=True).writeStream.format("memory").queryName("pulled").trigger(processingTime="0 seconds").start()
+    try:
+        import time
+
+        until = time.time() + 30
+        while spark.table("pulled").count() < 5 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        q.stop()
+    assert sorted(r.n for r in spark.table("pulled").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_file_formats_and_jdbc_options(spark, tmp_path):
+    from tidemill.sources.readers import files, jdbc_options
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "n int, s string")
+    for fmt in ("parquet", "orc", "json", "csv"):
+        df.write.format(fmt).save(f"{tmp_path}/{fmt}")
+        assert sorted((r.n, r.s) for r in files(spark, fmt, f"{tmp_path}/{fmt}", "n int, s string").collect()) == [(1, "a"), (2, None)]
+    assert jdbc_options("jdbc:x", "t", "id", (0, 100), 4)["numPartitions"] == "4"
+    with pytest.raises(ValueError):
+        jdbc_options("jdbc:x", "t", "id")
+
+
+def test_offsets_of_topics_with_any_name():
+    import json
+
+    c = KafkaConfig("h:1", "a-b-c", "g").source().at({"a-b-c": {0: 5, "1": 7}})
+    assert json.loads(c.options()["startingOffsets"]) == {"a-b-c": {"0": 5, "1": 7}}

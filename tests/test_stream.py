@@ -130,7 +130,7 @@ def test_panes_match_a_replay(spark, seed):
     rows = [(r.randint(1, 9), max(0, i * 40 + r.randint(-600, 600))) for i in range(120)]
     df = numbered(collection(spark, rows, "value int, t bigint", event_time_ms=lambda x: x[1]), ["sequence_number"], block=16)
     df = watermarks.bounded_out_of_orderness(df, delay=200, block=16)
-    out = watermarks.panes(windowed.assign(df, Tumbling(500)), block=16).groupBy("window_start", "pane").agg(F.sum("value").alias("v"))
+    out = watermarks.panes(windowed.assign(df, Tumbling(500)), block=160).groupBy("window_start", "pane").agg(F.sum("value").alias("v"))
     assert sorted((x.window_start, x.v) for x in out.collect()) == simulated(rows, 500, 200)
 
 
@@ -138,7 +138,7 @@ def test_ttl_matches_a_replay(spark):
     r = random.Random(7)
     rows = [(r.randint(1, 9), max(0, i * 40 + r.randint(-600, 600)), r.randint(0, 3)) for i in range(150)]
     df = collection(spark, rows, "value int, t bigint, k int", event_time_ms=lambda x: x[1])
-    df = watermarks.bounded_out_of_orderness(numbered(df, ["sequence_number"]), delay=100)
+    df = watermarks.replay(df, ["sequence_number"], watermarks.WatermarkStrategy.bounded(F.col("ms"), 100), block=16)
     got = [x.s for x in keyed.running_with_ttl(df, ["k"], 300, agg.sum_long(), F.col("value"), "s").orderBy("rn").collect()]
     state, wm, want = {}, None, []
     for value, ms, k in rows:
@@ -162,3 +162,97 @@ def test_blocks_give_the_same_as_one_window(spark):
 
     out = framed(numbered(df, ["sequence_number"]), "rn", 9, lambda d, p: d.withColumn("s", F.sum("v").over(Window.partitionBy(*p).orderBy("rn").rowsBetween(-9, 0))), block=32)
     assert {r.sequence_number: r.s for r in out.collect()} == {i: sum(v for _, v in rows[max(0, i - 9) : i + 1]) for i, _ in rows}
+
+
+def test_rows_without_an_order_stay_and_come_first(spark):
+    df = spark.createDataFrame([(1, 5), (None, 7), (2, 1)], "k long, v long")
+    got = {(r.k, r.v): (r.rn, r.m) for r in running_max(numbered(df, ["k"]), ["k"], F.col("v"), "m").collect()}
+    assert got == {(None, 7): (1, 7), (1, 5): (2, 7), (2, 1): (3, 7)}
+    assert {r.v: r.least for r in next_min(df, ["k"], F.col("v"), "least").collect()} == {7: 1, 5: 1, 1: 1}
+
+
+def test_running_values_of_keys_cross_blocks(spark):
+    r = random.Random(3)
+    rows = [(i, r.choice(["a", "b", None]), r.randint(-9, 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, k string, v int")
+    for make, total in ((agg.sum_long(), sum), (agg.average(), lambda x: sum(x) / len(x)), (agg.maximum(), max), (agg.minimum(), min), (agg.count(), len)):
+        got = {x.i: x.out for x in keyed.running_aggregate(df, ["k"], ["i"], make, F.col("v"), "out", block=32).collect()}
+        for i, k, _ in rows:
+            assert got[i] == pytest.approx(total([w for j, q, w in rows if j <= i and q == k]))
+    assert {x.i: x.n for x in numbered(df, ["i"], "n", 32, ["k"]).collect()} == {i: sum(q == k for j, q, _ in rows if j <= i) for i, k, _ in rows}
+
+
+@pytest.mark.parametrize("block", [64, 1 << 16])
+def test_frames_in_blocks(spark, block):
+    from tidemill.operators import control
+
+    r = random.Random(4)
+    rows = [(i, i % 2, r.choice([None, float(r.randint(0, 50))]) if i % 17 == 0 else float(r.randint(0, 50))) for i in range(500)]
+    df = spark.createDataFrame(rows, "i long, k int, v double")
+    got = {x.i: x for x in control.sliding_stats(df, ["k"], ["i"], "v", 20, block).collect()}
+    for i, k, _ in rows:
+        every = [v for j, q, v in rows if j <= i and q == k][-20:]
+        own = [v for v in every if v is not None]
+        if own:
+            mean = sum(own) / len(own)
+            assert (got[i].n, got[i].low, got[i].high, got[i].oldest) == (len(own), min(own), max(own), every[0])
+            assert got[i].mean == pytest.approx(mean) and got[i].std == pytest.approx((sum(v * v for v in own) / len(own) - mean * mean) ** 0.5, abs=1e-6)
+
+
+def test_sessions_have_merged_panes(spark):
+    s = made(spark, [(1, 0), (2, 900), (4, 1800), (0, 9000), (3, 1000), (0, 20_000)])
+    out = s.window(Session(1000)).panes().aggregate(F.sum("value").alias("result")).df
+    assert sorted((r.window_start, r.window_end, r.result) for r in out.collect()) == [(0, 2800, 3), (0, 2800, 7), (9000, 10_000, 0)]
+
+
+def test_an_explicit_lateness_of_zero_holds(spark):
+    rows = [(1, 5000), (2, 4900), (3, 9000)]
+    s = made(spark, rows).with_config(StreamConfig(delay=0, lateness=1000))
+    w = s.window(Tumbling(1000)).flushed()
+    assert results(w.allowed_lateness(0).aggregate(F.sum("value").alias("result"))) == [1, 3]
+    assert results(w.allowed_lateness(200).aggregate(F.sum("value").alias("result"))) == [1, 2, 3]
+    _, late = s.window(Tumbling(1000)).allowed_lateness(0).side_output_late()
+    assert [r.value for r in late.collect()] == [2]
+
+
+def test_plans_are_lazy(spark):
+    def boom(batches):
+        raise RuntimeError("ran")
+        yield
+
+    df = spark.range(3).selectExpr("id AS sequence_number", "id AS ms", "1 AS value").mapInPandas(boom, "sequence_number long, ms long, value int")
+    s = Stream(df)
+    for w in (s.window(Tumbling(10)), s.window(Tumbling(10)).panes(), s.window(Tumbling(10)).allowed_lateness(0)):
+        assert w.aggregate(F.sum("value").alias("result")).df.columns  # nothing has run
+
+
+def test_triggers_by_a_replay():
+    from tidemill.functions.triggers import EventTime, Every, ProcessingTime, Result, Trigger, firings
+
+    rows = [(10, None, 5), (20, 5, 15), (99, 12, 99), (30, 150, 120)]
+    assert firings(EventTime(), rows, 100, 150) == [[0, 1], [0, 1], [0, 1], []]  # the row in the last millisecond fires early, then the watermark; a late row waits for the next
+    assert firings(EventTime(), rows, 100, 151) == [[0, 1], [0, 1], [0, 1], [2]]
+    assert firings(Every(rows=2), rows, 100, None) == [[0], [0], [1], [1]]
+    assert firings(Every(rows=3), rows, 100, None, flush=True) == [[0], [0], [0], [1]]
+    assert firings(ProcessingTime(), rows, 100, 500) == [[0], [0], [0], [1]]
+
+    class Drop(Trigger):
+        def on_element(self, ms, end, state):
+            return Result.PURGE if ms == 20 else Result.CONTINUE
+
+    assert firings(Drop(), rows, 100, 500, flush=True) == [[], [], [0], [0]]
+
+
+def test_ttl_of_reductions(spark):
+    s = made(spark, [(5, 0), (1, 10), (0, 5000), (2, 6000)], ttl=100).key_by(k=F.col("value") == 0)  # the other key's row lets the watermark pass
+    assert [r.result for r in s.reduce(F.col("value"), builtin=F.max).df.orderBy("sequence_number").collect()] == [5, 5, 0, 2]
+    assert [r.result for r in s.reduce(F.col("value"), add=lambda a, b: a + b).df.orderBy("sequence_number").collect()] == [5, 6, 0, 2]
+
+
+def test_accumulators_combine(spark):
+    words = agg.Accumulator(F.array().cast("array<int>"), lambda a, v: F.array_union(a, F.array(v)), F.array_union, F.size)
+    df = spark.createDataFrame([(i, i % 3, i % 7) for i in range(500)], "i long, k int, v int").repartition(3)
+    from tidemill.operators.keyed import combined
+
+    assert {r.k: r.n for r in combined(df, ["k"], words, F.col("v"), "n", piece=16).collect()} == {0: 7, 1: 7, 2: 7}
+    assert combined(df.where("false"), ["k"], words, F.col("v"), "n").count() == 0

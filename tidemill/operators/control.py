@@ -202,10 +202,10 @@ def window_sizes(samples: list[tuple[int, float, float]], start: int = 5000, eve
     Looked at at the first sample and then when more than `every` ms have passed: a tenth of the way to the optimal size (statistics.optimal_window, with a
     controller that remembers); both change only if that moves the size by over a tenth.
     """
-    control, size, disorder, looked, recent_, out = Pid(), start, 5000, 0, deque(maxlen=keep), []
+    control, size, disorder, looked, recent_, out = Pid(), start, 5000, None, deque(maxlen=keep), []
     for ms, rate, latency in samples:
         recent_.append(int(latency))
-        if ms - looked > every:
+        if looked is None or ms - looked > every:
             looked, s = ms, sorted(recent_)
             n = len(s)
             median, p95, p99 = s[n // 2], s[int(n * 0.95)], s[int(n * 0.99)]

@@ -82,6 +82,30 @@ class Store:
         return log.agg(F.countDistinct("f").alias("segments"), F.count(F.lit(1)).alias("versions"), F.countDistinct("key").alias("keys"), F.sum(F.col("deleted").cast("long")).alias("tombstones"))
 
 
+    def segments(self) -> list[Segment]:
+        """The generations with their sizes in bytes, oldest first."""
+        jvm, out = self.spark._jvm, []
+        for g in self._generations():
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/gen={g}")
+            out.append(Segment(str(g), at.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()))
+        return out
+
+    def compact_some(self, least: int = 4, ratio: float = 1.5) -> list[str]:
+        """Merge a run of neighbouring segments of like sizes, if there is one, into one that takes the place of the newest; returns their names."""
+        run = size_tiered(self.segments(), least, ratio)
+        if run:
+            paths = [f"{self.path}/gen={s.name}" for s in run]
+            merged = newest(self.spark.read.schema(self.schema).parquet(*paths))
+            jvm, temporary = self.spark._jvm, f"{self.path}/merging-{run[-1].name}"
+            merged.repartitionByRange("key").sortWithinPartitions("key", "seq").write.mode("overwrite").parquet(temporary)
+            for p in paths:
+                at = jvm.org.apache.hadoop.fs.Path(p)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            at = jvm.org.apache.hadoop.fs.Path(temporary)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(at, jvm.org.apache.hadoop.fs.Path(paths[-1]))
+        return [s.name for s in run]
+
+
 @dataclass(frozen=True)
 class Segment:
     name: str

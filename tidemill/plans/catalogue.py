@@ -594,7 +594,9 @@ def backpressure_trace(spark, sf):
 
 @query(None)
 def adaptive_window_trace(spark, sf):
-    out = control.folded(samples(spark, sf), ["event_type"], ["at"], ["at", "rate", "latency"], control.window_sizes, "window_size double, disorder double")
+    """Window sizes as if every event stood for one a second; a replay of the rules is the test."""
+    busy = samples(spark, sf).withColumn("rate", F.col("rate") * 3600)
+    out = control.folded(busy, ["event_type"], ["at"], ["at", "rate", "latency"], control.window_sizes, "window_size double, disorder double")
     return out.select("event_type", "at", F.round("window_size", 4).alias("window_size"), F.round("disorder", 4).alias("disorder"))
 
 

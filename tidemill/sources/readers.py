@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,20 @@ def files(spark: SparkSession, fmt: str, path: str, schema: str | StructType | N
     return reader.load(path)
 
 
+def jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple | None = None, partitions: int = 1, **options) -> DataFrame:
+    """A table of a database; with a numeric or time column and its bounds, in so many ranges of it at once. Conditions and columns are pushed down. Needs the driver on the class path."""
+    return spark.read.format("jdbc").options(**jdbc_options(url, table, column, bounds, partitions), **options).load()
+
+
+def jdbc_options(url: str, table: str, column: str | None = None, bounds: tuple | None = None, partitions: int = 1) -> dict[str, str]:
+    out = {"url": url, "dbtable": table}
+    if column is None:
+        return out
+    if bounds is None:
+        raise ValueError("a partition column needs bounds")
+    return out | {"partitionColumn": column, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(partitions)}
+
+
 def collection(spark: SparkSession, values: Iterable, schema: str, event_time_ms: Callable | None = None) -> DataFrame:
     """A small local collection with sequence_number in its order and, with an extractor, ms as event time (null without one)."""
     rows = [v if isinstance(v, tuple) else (v,) for v in values]
@@ -64,6 +79,10 @@ class KafkaSourceConfig:
     max_records: int = 500
     poll_ms: int = 100
 
+    def at(self, offsets: dict[str, dict]) -> KafkaSourceConfig:
+        """The same from a snapshot {topic: {partition: next offset}} on (streaming.runtime.offsets); topics may have any name."""
+        return replace(self, start=json.dumps({t: {str(p): int(o) for p, o in by.items()} for t, by in offsets.items()}, sort_keys=True))
+
     def options(self) -> dict[str, str]:
         out = {
             "kafka.bootstrap.servers": self.servers,

@@ -87,7 +87,7 @@ class Checkpoints(StreamingQueryListener):
 def offsets(query: StreamingQuery) -> list[dict]:
     """A snapshot of what each source of a query has read to: for Kafka {topic: {partition: next offset}}. KafkaSourceConfig.at() starts there again."""
     p = query.lastProgress
-    return [json.loads(s.endOffset) if isinstance(s.endOffset, str) else s.endOffset for s in p.sources] if p else []
+    return [s["endOffset"] for s in json.loads(p.json)["sources"]] if p else []
 
 
 def state_backend(spark: SparkSession, kind: str = "rocksdb") -> None:
