@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .flat import SPACE, U, Words, buffers, chunks, minimizers, mix, powers, powers_inverse, windows
 from .shared import discard, materialize
@@ -139,11 +140,10 @@ def _solved(unit: Unit, solver: Solver):
         h, first, _ = _units(unit, data, at)
         hit = solver(h, first, count, group["w"].to_numpy())
         # maximal runs of repeated starts, as offsets in their stretch
-        hit = np.concatenate([hit, [False]])
-        inside = np.arange(len(hit)) - np.concatenate([np.repeat(first[:-1], np.diff(first)), [0]])
-        edge = hit & ~np.concatenate([[False], hit[:-1] & (inside[1:] > 0)])
-        begin = np.flatnonzero(edge)
-        ends = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (inside[1:] > 0), [False]]))
+        border = np.zeros(len(hit) + 1, bool)
+        border[first] = True
+        begin = np.flatnonzero(hit & (border[:-1] | ~np.concatenate([[False], hit[:-1]])))
+        ends = np.flatnonzero(hit & (border[1:] | ~np.concatenate([hit[1:], [False]])))
         row = np.searchsorted(first, begin, "right") - 1
         return pa.table({"a": group["a"].take(pa.array(row)), "c": group["c"].take(pa.array(row)), "lo": pa.array((begin - first[row]).astype(np.int32)), "hi": pa.array((ends - first[row] + unit.width).astype(np.int32))})
 
@@ -190,7 +190,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, solver: Solver, crowd: int = 20_
     texts = docs.join(asked.withColumnRenamed("k", "k2"), (F.col("k") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "asked")
     cut = materialize(texts.mapInArrow(_cutter(unit), "a long, c long, n int, w int, x binary"), "stretches")
     size = cut.agg(F.sum(F.octet_length("x"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+    shards = max(-(-size // shard_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (1 << 20))), 1)
     crowded = materialize(crowded, "crowded")
     few = cut.join(crowded, "a", "left_anti").withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int"))
     found = few.groupBy("shard").applyInArrow(_solved(unit, solver), "a long, c long, lo int, hi int")
@@ -235,8 +235,7 @@ def cut(docs: DataFrame, unit: Unit, solver: Solver, remove, text: str = "text",
     rows = docs.select(F.struct(*own).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
     spans, copies = repeated_spans(with_key(docs, text, doc_id), unit, solver, **how)
     verdict = copies.where("copies > 1").join(spans, "k", "full")
-    kind = "struct<n_units:bigint,n_removed:bigint,n_spans:bigint,spans:binary,kept:binary>"
-    row = rows.schema["row"].dataType.simpleString()
+    schema = T.StructType([rows.schema["row"], T.StructField(into, T.StructType.fromDDL("n_units long, n_removed long, n_spans long, spans binary, kept binary"))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,4 +257,4 @@ def cut(docs: DataFrame, unit: Unit, solver: Solver, remove, text: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(0), out], names=["row", into])
 
     joined = rows.join(verdict, "k", "left").select("row", "text", "spans", "copies")
-    return joined.mapInArrow(scan, f"row {row}, `{into}` {kind}").select("row.*", into)
+    return joined.mapInArrow(scan, schema).select("row.*", into)
