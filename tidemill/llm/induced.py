@@ -7,7 +7,7 @@ induced one is 1 + the minimum over the tuples between its inducers, of which a
 
 The order of the S* suffixes comes from the strings that begin with them and end behind the run at the next one (no such string is the beginning of another). They are
 dealt out by first character and sorted there; equal strings get one name, and the shorter string of names is sorted in turn, by the same means. A name becomes one or more digits of
-a small alphabet, so that there are never many queues. What the recursion says of common prefixes in names, the strings' own common prefixes complete to ones in characters.
+a small alphabet, so that there are never many queues; a string of names that is short enough is sorted at once. What the recursion says of common prefixes in names, the strings' own common prefixes complete to ones in characters.
 
 Memory: the queue, what a sweep leaves for the next and the seeds each hold at most `limit` bytes and keep the rest in temporary files; the text, the S* positions and
 the names are arrays, mapped from temporary files when they are larger than that. The result is not kept: it is handed on in blocks, in descending order.
@@ -23,10 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .flat import Sequence, mix
+
 CAP = 250  # common prefixes are carried in a byte, up to this
 SAME = 255  # two equal strings
 ALPHABET = 2048  # digits of names
-BASE = 1 << 18  # shorter texts are sorted at once
+BASE = 3 << 20  # up to so many names are sorted at once
 GROUPS = 32  # of characters, in a queue with many
 Block = tuple[np.ndarray, np.ndarray]
 
@@ -387,6 +389,22 @@ class _Level:
             return
         kept.close()
         prefix = np.concatenate(prefixes)  # prefix[i]: of the names i - 1 and i; the end has the name 0
+        before = None
+        for r, q in _at_once(names[:m]) if m <= self.base else self._deeper(names, m, found):
+            above = np.concatenate([[before if before is not None else r[0]], r[:-1]])
+            before = int(r[-1])
+            own, other = np.minimum(r + q, m), np.minimum(above + q, m)
+            same = stars[own].astype(np.int64) - stars[r]
+            out = np.minimum(same, CAP).astype(np.uint8)
+            short = np.flatnonzero((out < CAP) & (names[own] != names[other]))
+            if len(short):
+                a, b = names[own[short]].astype(np.int64), names[other[short]].astype(np.int64)
+                more = _range_minimum(prefix, np.minimum(a, b), np.maximum(a, b))
+                out[short] = np.minimum(same[short] + more, CAP)
+            yield stars[r], out
+
+    def _deeper(self, names: np.ndarray, m: int, found: int) -> Iterator[Block]:
+        """The suffixes of the names in descending order, with common prefixes in names: the text of their digits is sorted in turn."""
         for most in (self.alphabet, 1 << 16):  # a text that would not become shorter gets larger digits, and fewer
             digits = max(1, math.ceil(math.log(found + 1) / math.log(most - 2)))
             if m * digits <= 0.7 * self.n:
@@ -400,21 +418,8 @@ class _Level:
             for k in range(digits):
                 shorter[lo * digits + k : (lo + len(name)) * digits : digits] = name // base ** (digits - 1 - k) % base + 1
         deeper = _descending(shorter, base + 1, self.limit, self.alphabet, self.base, self.log)
-        before = None
         for pos, lcp in self._some(deeper, lambda pos: pos % digits == 0):
-            r = (pos // digits).astype(np.int64)
-            above = np.concatenate([[before if before is not None else r[0]], r[:-1]])
-            before = int(r[-1])
-            q = lcp.astype(np.int64) // digits
-            own, other = np.minimum(r + q, m), np.minimum(above + q, m)
-            same = stars[own].astype(np.int64) - stars[r]
-            out = np.minimum(same, CAP).astype(np.uint8)
-            short = np.flatnonzero((out < CAP) & (names[own] != names[other]))
-            if len(short):
-                a, b = names[own[short]].astype(np.int64), names[other[short]].astype(np.int64)
-                more = _range_minimum(prefix, np.minimum(a, b), np.maximum(a, b))
-                out[short] = np.minimum(same[short] + more, CAP)
-            yield stars[r], out
+            yield (pos // digits).astype(np.int64), lcp.astype(np.int64) // digits
 
     def descending(self) -> Iterator[Block]:
         seeds = Spool(self.limit, self.kind)
@@ -429,38 +434,39 @@ class _Level:
         yield from self.downwards(large)
 
 
-def _compare(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Common prefix of the suffixes at a and b, up to CAP."""
-    n, out, live = len(text), np.zeros(len(a), np.uint8), np.arange(len(a))
-    for have in range(CAP):
-        live = live[(a[live] + have < n) & (b[live] + have < n)]
-        live = live[text[a[live] + have] == text[b[live] + have]]
-        if not len(live):
-            break
-        out[live] += 1
-    return out
-
-
-def _at_once(text: np.ndarray) -> Block:
-    """All suffixes of a short text in descending order, by ranks of doubled prefixes."""
-    n = len(text)
-    rank, have = text.astype(np.int64), 1
-    while True:
-        key = rank * (int(rank.max()) + 2) + np.concatenate([rank[have:] + 1, np.zeros(min(have, n), np.int64)])
-        order = np.argsort(key, kind="stable")
-        new = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
-        rank[order] = new
-        if new[-1] == n - 1:
-            break
+def _at_once(names: np.ndarray) -> Iterator[Block]:
+    """The suffixes of a short string of names in descending order, by ranks of doubled prefixes (only ties are sorted again), with common prefixes in names up to CAP // 2, which
+    are CAP characters or more."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    new = np.concatenate([[True], names[order][1:] != names[order][:-1]])
+    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = start + 1
+    have = 1
+    while len(at := np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))):
+        tied = order[at]
+        key = rank[tied] * (n + 2) + np.where(tied + have < n, rank[np.minimum(tied + have, n - 1)], 0)
+        by = np.argsort(key, kind="stable")
+        order[at], key = tied[by], key[by]
+        new[at[1:]] |= key[1:] != key[:-1]
+        start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        rank[order[at]] = start[at] + 1
         have *= 2
+    del rank, new, start
     order = order[::-1]
-    return order, np.concatenate([[0], _compare(text, order[:-1], order[1:])]).astype(np.uint8)
+    text = Sequence(mix(names.astype(np.uint64) + np.uint64(1)), np.minimum(n - np.arange(n), CAP // 2))
+    for lo in range(0, n, 1 << 18):
+        some = order[lo : lo + (1 << 18)]
+        above = np.concatenate([[order[lo - 1] if lo else some[0]], some[:-1]])
+        q = text.common(above, text, some)
+        if not lo:
+            q[0] = 0
+        yield some, q
 
 
 def _descending(text: np.ndarray, size: int, limit: int, alphabet: int, base: int, log: dict) -> Iterator[Block]:
-    if len(text) <= base:
-        if len(text):
-            yield _at_once(np.asarray(text))
+    if not len(text):
         return
     yield from _Level(text, size, limit, alphabet, base, log).descending()
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import SPACE, U, Words, buffers, chunks, minimizers, mix, powers, powers_inverse, windows
-from .shared import discard, materialize
+from .shared import discard, materialize, trim
 
 PIECE = 1 << 20  # units in work at once
 #: A value for each byte, of 64 random-looking bits.
@@ -145,6 +145,7 @@ def _solved(unit: Unit, solver: Solver):
         begin = np.flatnonzero(hit & (border[:-1] | ~np.concatenate([[False], hit[:-1]])))
         ends = np.flatnonzero(hit & (border[1:] | ~np.concatenate([hit[1:], [False]])))
         row = np.searchsorted(first, begin, "right") - 1
+        trim()
         return pa.table({"a": group["a"].take(pa.array(row)), "c": group["c"].take(pa.array(row)), "lo": pa.array((begin - first[row]).astype(np.int32)), "hi": pa.array((ends - first[row] + unit.width).astype(np.int32))})
 
     return solve

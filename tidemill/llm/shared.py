@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -82,6 +84,12 @@ def smallest(df: DataFrame, by: str, n: int, total: int) -> DataFrame:
         share *= 4
 
 
+def trim() -> None:
+    """Give memory that NumPy freed back to the system, where the C library can: a worker is used for task after task."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def ascii_lower(col):
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
