@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import chunks
+from .shared import smallest
 
 #: Buckets of the 1-, 2- and 3-grams.
 DIMS = (1 << 10, 1 << 12, 1 << 14)
@@ -137,7 +138,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: tuple[
     """A model of docs (the learning folds), or None without labelled rows.
 
     Document frequencies cover every labelled row. The regression and the temperature are fitted on the max_rows rows with the smallest hash
-    of `order` and the text (one in five of them for the temperature): a documented bound. Languages are counted over all labelled rows; one with fewer
+    of `order` and the text (one in five of them for the temperature): a documented bound; repeated rows count once there. The hashes are chosen first, from narrow rows, and
+    only then the texts. Languages are counted over all labelled rows; one with fewer
     than `minimum` rows in that sample gets its own rows with the smallest hash besides, up to `minimum`, so that none is unknown to the model.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(seed), *[F.col(c) for c in order], F.col(text)).alias("h"))
@@ -147,14 +149,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: tuple[
     if not df[-1]:
         return None
     features = lambda some: some.select("lang", "text").mapInArrow(_features, "lang string, ids binary, counts binary").toArrow()
-    sample = features(rows.orderBy("h", "lang").limit(max_rows))
+    sample = features(smallest(rows, "h", max_rows, int(df[-1])).dropDuplicates(["h", "lang"]).orderBy("h", "lang"))
     seen = Counter(sample["lang"].to_pylist())
     langs = sorted(r[0] for r in rows.groupBy("lang").count().collect())  # one row a language
     rare = [x for x in langs if seen[x] < minimum]
-    if rare and sample.num_rows == max_rows:
+    if rare and df[-1] > max_rows:
         own = rows.where(F.col("lang").isin(rare))
         place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-        cuts = own.select("lang", "h").withColumn("place", place).where(F.col("place") <= minimum).groupBy("lang").agg(F.max("h").alias("cut"))
+        cuts = own.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= minimum).groupBy("lang").agg(F.max("h").alias("cut"))
         more = features(own.join(F.broadcast(cuts), "lang").where("h <= cut").dropDuplicates(["lang", "h"]).orderBy("lang", "h"))
         common = sample.filter(pc.invert(pc.is_in(sample["lang"], pa.array(rare, pa.string()))))  # what it holds of the rare ones comes again
         sample = pa.concat_tables([common, more])
@@ -183,7 +185,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
     """docs with the predicted language and its calibrated probability.
 
     `und` with score 0 for a null text, a text without a letter, or without a model. Columns of docs with the names in `into` are
-    replaced, others stay; equal texts get equal predictions; an empty table stays empty.
+    replaced, others stay; equal texts get equal predictions; of equally likely languages the first by name is given; a text of any length is read whole; an empty table stays empty.
     """
     docs = docs.drop(*into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
@@ -222,5 +224,6 @@ def accept(docs: DataFrame, model: Model | None, least: float = 0.4, text: str =
     """docs whose language is one of the model's, with a score of `least` or more; without a model, docs with a letter. Columns as they were."""
     if model is None:
         return docs.where(F.col(text).rlike(r"\p{L}"))
-    into = ("_lang_pred", "_lang_score")
-    return predict(docs, model, text, into).where((F.col(into[0]) != "und") & (F.col(into[1]) >= least)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    found = predict(rows, model, into=("pred", "score"))
+    return found.where((F.col("pred") != "und") & (F.col("score") >= least)).select("row.*")
