@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import statistics
-from .shared import opaque
+from .shared import opaque, smallest
 
 #: feature: expression over quality.statistics()
 FEATURES = {
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     Labels that are null count as missing; several labels of one id count as their highest; ids without a document are not used.
     """
     chosen = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("double").alias("_y"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(max_rows)  # at most max_rows narrow rows: small enough to broadcast
+    chosen = smallest(chosen.withColumn("_h", F.xxhash64(F.lit(seed), "_id")), "_h", max_rows, chosen.count()).drop("_h")  # max_rows narrow rows: small enough to broadcast
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     names = list(FEATURES)
     got = features(rows, "_text").groupBy("_id").agg(F.min(F.struct(*[f"_f_{n}" for n in names])).alias("f"), F.first("_y").alias("_y")).select("_id", "f.*", "_y").toArrow().sort_by("_id")
@@ -133,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 
 def score(docs: DataFrame, model: Ensemble, text: str = "text", at: float = 0.7, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """docs with the score and 1 or 0 for a score of `at` or more. Null and empty texts are scored by their zero statistics; equal texts score alike; columns named as in `into` are replaced."""
+    """docs with the score and 1 or 0 for a score of `at` or more. Null and empty texts are scored by their zero statistics; equal texts score alike; columns named as in `into` are replaced, others stay, whatever their names; a
+    text is scored whole, however long; an empty table stays empty."""
     keep = [c for c in docs.columns if c not in into]
     rows = docs.select(F.struct(*keep).alias("_row"), F.col(text).alias("_text"))  # names of docs cannot clash with statistics
     scored = features(rows, "_text").withColumn(into[0], model.score())
