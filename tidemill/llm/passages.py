@@ -192,14 +192,13 @@ def repeated_spans(docs: DataFrame, unit: Unit, solver: Solver, crowd: int = 20_
     cut = materialize(texts.mapInArrow(_cutter(unit), "a long, c long, n int, w int, x binary"), "stretches")
     size = cut.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     shards = max(-(-size // shard_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (1 << 20))), 1)
-    crowded = materialize(crowded, "crowded")
     few = cut.join(crowded, "a", "left_anti").withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int"))
     found = few.groupBy("shard").applyInArrow(_solved(unit, solver), "a long, c long, lo int, hi int")
     wide = cut.join(crowded, "a", "left_semi").select("a", "c", "n", "w", "x").dropDuplicates(["a", "c"]).mapInArrow(_exploded(unit), "a long, c long, lo int, many int, w long")
     equal = wide.groupBy("w").agg(F.min(F.xxhash64("a", "c", "lo")).alias("x"), F.max(F.xxhash64("a", "c", "lo")).alias("y"), F.max("many").alias("many")).where("x != y OR many > 1").select("w")
     found = found.unionByName(wide.join(equal, "w").select("a", "c", "lo", (F.col("lo") + unit.width).alias("hi")))
     found = materialize(found, "found")
-    discard(cut, crowded, kinds)
+    discard(cut, kinds)
     inner = alive.join(found, ["a", "c"]).select("k", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi"))
     spans = materialize(inner.distinct().groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
     discard(alive, found, free=True)
