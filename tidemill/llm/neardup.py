@@ -149,7 +149,8 @@ def _estimated_groups(sets: list[np.ndarray], k: int, least: int) -> np.ndarray:
     union = np.minimum(k, size[:, None] + size[None, :] - both)
     may = k * both >= least * union
     label = np.arange(m)
-    if int(may.sum()) == m:
+    np.fill_diagonal(may, False)
+    if not may.any():
         return label
     flat = np.full((m, k), U(0xFFFFFFFFFFFFFFFF), U)
     for i, s in enumerate(sets):
