@@ -104,8 +104,8 @@ def scan(docs: DataFrame, text: str = "text", rarest: int = 3, least: float = 0.
     base = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(f"_b{i}") > 0, F.lit(x)) for i, x in enumerate(phrases.values())]), lambda x: x.isNotNull())))
     places = F.concat(*[F.col(f"_b{i}") for i in range(len(phrases))])
     best = F.coalesce(F.array_max(F.transform("_found", lambda v: v["share"])), F.lit(0.0))
-    return rows.select(
-        "_row.*",
+    found = rows.select(
+        "_row",
         F.struct(
             F.col("_n").cast("long").alias("n_words"),
             F.size(places).cast("long").alias("n_base"),
@@ -116,6 +116,7 @@ def scan(docs: DataFrame, text: str = "text", rarest: int = 3, least: float = 0.
             F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.least(best, F.lit(1.0))).alias("score"),
         ).alias("licences"),
     )
+    return found.select("_row.*", "licences")
 
 
 def _votes(idx: list) -> Column:

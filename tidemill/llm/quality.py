@@ -60,8 +60,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     stage = stage.withColumn("_twice", opaque(F.sort_array(F.transform(F.filter("_spans", same), lambda x: x["i"]))))
     covered = F.aggregate(F.transform("_twice", lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col("_twice"), k + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
     t = F.col("_t")
-    return stage.select(
-        "_row.*",
+    counted = stage.select(
+        "_row",
         F.col("n_words").cast("long").alias("n_words"),
         (F.char_length(t) - F.regexp_count(t, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -71,6 +71,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter("_words", lambda w: F.lower(F.rtrim(w, F.lit(".,!?"))).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.regexp_count(t, F.lit("[A-Z]")).cast("long").alias("n_upper"),
     )
+    return counted.select("_row.*", *new)
 
 
 def compiled(thresholds: tuple = THRESHOLDS) -> Column:
