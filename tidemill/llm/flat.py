@@ -169,15 +169,21 @@ class Sequence:
         self.sums = np.concatenate([np.zeros(1, U), np.cumsum(words * powers(len(words)), dtype=U)])
         self.inverse = powers_inverse(len(words))
 
-    def _stretch(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (self.sums[at + n] - self.sums[at]) * self.inverse[at]
-
     def common(self, at: np.ndarray, other: Sequence, there: np.ndarray) -> np.ndarray:
         """How many words the suffixes at `at` share with the other's at `there`, for each pair: by halving, on hashes."""
-        lo, hi = np.zeros(len(at), np.int64), np.minimum(self.left[at], other.left[there])
-        while len(open_ := np.flatnonzero(lo < hi)):
-            mid = (lo[open_] + hi[open_] + 1) // 2
-            same = self._stretch(at[open_], mid) == other._stretch(there[open_], mid)
-            lo[open_] = np.where(same, mid, lo[open_])
-            hi[open_] = np.where(same, hi[open_], mid - 1)
-        return lo
+        out = np.zeros(len(at), np.int64)
+        open_ = np.flatnonzero(self.words[at] == other.words[there])
+        a, b = at[open_], there[open_]
+        lo, hi = np.ones(len(a), np.int64), np.minimum(self.left[a], other.left[b])
+        mid, fixed = hi, (a, b, self.sums[a], other.sums[b], self.inverse[a], other.inverse[b])
+        while len(open_):  # the whole length is tried first: what repeats mostly repeats for long
+            a, b, x, y, u, v = fixed
+            same = (self.sums[a + mid] - x) * u == (other.sums[b + mid] - y) * v
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+            done = lo >= hi
+            out[open_[done]] = lo[done]
+            live = ~done
+            open_, lo, hi = open_[live], lo[live], hi[live]
+            fixed = tuple(f[live] for f in fixed)
+            mid = (lo + hi + 1) // 2
+        return out

@@ -222,9 +222,10 @@ class _Level:
         self.text = text
         self.kind = np.int32 if self.n < (1 << 31) - 2 else np.int64
         self.step = max(1 << 10, limit // 64)
+        self.piece = 8 * self.step  # of the text, read in its own order
         counts = np.zeros(size, np.int64)
-        for lo in range(0, self.n, 1 << 20):
-            counts += np.bincount(text[lo : lo + (1 << 20)], minlength=size)
+        for lo in range(0, self.n, self.piece):
+            counts += np.bincount(text[lo : lo + self.piece], minlength=size)
         self.chars = np.flatnonzero(counts).tolist()
 
     def run(self, i: int) -> int:
@@ -240,9 +241,8 @@ class _Level:
         at = most - 1
         pos[at], runs[at] = n, 0
         border, rising, character = n, True, 0  # where the next run begins, whether what lies there is small, its character
-        step = 1 << 20
-        for hi in range(n, 0, -step):
-            lo = max(0, hi - step)
+        for hi in range(n, 0, -self.piece):
+            lo = max(0, hi - self.piece)
             own = text[lo:hi].astype(np.int32)
             follows = np.append(own[1:], character if hi == n else int(text[hi]))
             if hi == n:
@@ -413,8 +413,8 @@ class _Level:
         while base**digits < found + 1:
             base += 1
         shorter = array(m * digits, np.uint16, self.limit)
-        for lo in range(0, m, 1 << 20):
-            name = names[lo : min(m, lo + (1 << 20))].astype(np.int64)
+        for lo in range(0, m, self.piece):
+            name = names[lo : min(m, lo + self.piece)].astype(np.int64)
             for k in range(digits):
                 shorter[lo * digits + k : (lo + len(name)) * digits : digits] = name // base ** (digits - 1 - k) % base + 1
         deeper = _descending(shorter, base + 1, self.limit, self.alphabet, self.base, self.log)
