@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import LOWER, PUNCT, Sequence, Words, buffers, chunks
-from .shared import discard, materialize
+from .shared import discard, materialize, tidy
 
 BLOCK_BYTES = 32 << 20
 RESULT = "n_words long, n_hit long, n_items long, items array<string>, hits binary, longest long, longest_word long"
@@ -232,12 +232,12 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 10, text: str
     parts = _parts(bench, bench_text, item_id, block_bytes)
     block, table = _block(next(parts), window), next(parts, None)
     if table is None:
-        return docs.mapInArrow(_scanner(context.broadcast(block), text, into), schema)
+        return docs.mapInArrow(tidy(_scanner(context.broadcast(block), text, into)), schema)
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
     tables = []
     while block is not None:
         sent = context.broadcast(block)
-        tables.append(materialize(keyed.select("k", "text").mapInArrow(_hitter(sent), "k long, spans binary, items array<string>, longest long, longest_word long"), "hits"))
+        tables.append(materialize(keyed.select("k", "text").mapInArrow(tidy(_hitter(sent)), "k long, spans binary, items array<string>, longest long, longest_word long"), "hits"))
         sent.destroy()
         block, table = (None if table is None else _block(table, window)), next(parts, None)
     hits = tables[0]
@@ -246,7 +246,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 10, text: str
     hits = materialize(hits.dropDuplicates().groupBy("k").agg(F.collect_list(F.struct("spans", "items", "longest", "longest_word")).alias("found")), "found")  # one entry a block
     discard(*tables)
     schema = T.StructType([keyed.schema["row"], T.StructField(into, T.StructType.fromDDL(RESULT))])
-    return keyed.join(hits, "k", "left").select("row", "text", "found").mapInArrow(_merger(into), schema).select("row.*", into)
+    return keyed.join(hits, "k", "left").select("row", "text", "found").mapInArrow(tidy(_merger(into)), schema).select("row.*", into)
 
 
 def _scanner(sent, text: str, into: str):
@@ -316,7 +316,7 @@ def longest_matches(docs: DataFrame, bench: DataFrame, text: str = "text", doc_i
         words, seq = _words_of(table)
         named = [n for n, k in zip(table["item"].to_pylist(), words.counts.tolist(), strict=True) for _ in range(k)]
         sent = docs.sparkSession.sparkContext.broadcast((seq, named, np.arange(len(words)) - (words.first[words.owner] if len(words) else 0), int(words.counts.max(initial=0))))
-        tables.append(materialize(docs.mapInArrow(_matcher(sent), f"item_id string, item_word long, length long, doc_id {kind}, doc_word long"), "matches"))
+        tables.append(materialize(docs.mapInArrow(tidy(_matcher(sent)), f"item_id string, item_word long, length long, doc_id {kind}, doc_word long"), "matches"))
         sent.destroy()
     out = tables[0]
     for t in tables[1:]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import chunks
-from .shared import smallest
+from .shared import smallest, tidy
 
 #: Buckets of the 1-, 2- and 3-grams.
 DIMS = (1 << 10, 1 << 12, 1 << 14)
@@ -144,11 +144,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: tuple[
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(seed), *[F.col(c) for c in order], F.col(text)).alias("h"))
     df = np.zeros(D + 1, np.int64)
-    for i, n in rows.select("text").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # D + 1 rows at most
+    for i, n in rows.select("text").mapInArrow(tidy(_frequencies), "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # D + 1 rows at most
         df[i] = n  # -1: the number of documents
     if not df[-1]:
         return None
-    features = lambda some: some.select("lang", "text").mapInArrow(_features, "lang string, ids binary, counts binary").toArrow()
+    features = lambda some: some.select("lang", "text").mapInArrow(tidy(_features), "lang string, ids binary, counts binary").toArrow()
     sample = features(smallest(rows, "h", max_rows, int(df[-1])).dropDuplicates(["h", "lang"]).orderBy("h", "lang"))
     seen = Counter(sample["lang"].to_pylist())
     langs = sorted(r[0] for r in rows.groupBy("lang").count().collect())  # one row a language
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
                             pred[r] = langs[k]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(score)], names=[*part.schema.names, *into])
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(tidy(scan), schema)
 
 
 def fold(doc_id: str, n: int) -> Column:

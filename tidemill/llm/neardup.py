@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .flat import LOWER, SPACE, U, Words, chunks, mix, windows
-from .shared import discard, materialize
+from .shared import discard, materialize, tidy, trim
 
 CHUNK = 2 << 20
 LOSS = 4e-9  # probability with which estimates may drop a pair at the threshold
@@ -83,7 +83,7 @@ def _retained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rarest(classes: DataFrame, k: int, least: int) -> DataFrame:
     """(key, class): the retained values by which a class has to be found, those that others retain too."""
-    kept = materialize(classes.select("class", "sketch").mapInArrow(_retained, "key long, class long, n int"), "retained")
+    kept = materialize(classes.select("class", "sketch").mapInArrow(tidy(_retained), "key long, class long, n int"), "retained")
     shared = materialize(kept.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
     own = kept.join(shared, "key").groupBy("class").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("m", "key"))).alias("own"))  # k entries at most
     need = F.ceil(F.lit(least) * F.col("n") / k)  # a partner shares so many: its union with this set is no smaller than this set
@@ -190,6 +190,7 @@ def _estimated(k: int, threshold: float):
                 own = of[lo:hi][label == g]
                 groups.append(np.full(len(own), int(mix(np.frombuffer(own.tobytes(), U) * U(0xFF51AFD7ED558CCD) + np.arange(len(own)).astype(U)).sum(dtype=U)), U).view(np.int64))
                 members.append(own)
+        trim()
         if not groups:
             return pa.table({"g": pa.array([], pa.int64()), "class": pa.array([], pa.int64())})
         return pa.table({"g": np.concatenate(groups), "class": np.concatenate(members)})
@@ -214,6 +215,7 @@ def _verified(percent: int):
             there = np.flatnonzero(label != np.arange(len(label)))
             u.append(of[keep[there]])
             v.append(of[keep[label[there]]])
+        trim()
         return pa.table({"u": pa.array(np.concatenate(u), pa.int64()), "v": pa.array(np.concatenate(v), pa.int64())})
 
     return solve
@@ -246,7 +248,7 @@ def _components_of(base: DataFrame, percent: int = 85, width: int = 5, k: int =
     spark = base.sparkSession
     base = base.select("doc_id", F.xxhash64("text").alias("k"), "text", "rid")
     kind = base.schema["doc_id"].dataType.simpleString()
-    rows = materialize(base.select(F.col("doc_id").alias("row"), "k", "rid", "text").mapInArrow(_sketches(width, k), f"row {kind}, k long, rid long, n_shingles long, class long, sketch binary"), "sketches")
+    rows = materialize(base.select(F.col("doc_id").alias("row"), "k", "rid", "text").mapInArrow(tidy(_sketches(width, k)), f"row {kind}, k long, rid long, n_shingles long, class long, sketch binary"), "sketches")
     some = rows.where("n_shingles > 0")
     classes = materialize(some.groupBy("class").agg(F.min("row").alias("low"), F.min(F.struct("k", "row", "sketch")).alias("one")).select("class", "low", "one.k", F.col("one.row").alias("row"), "one.sketch"), "classes")
     keys = _rarest(classes, k, _least_shared(k, percent / 100))
@@ -262,7 +264,7 @@ def _components_of(base: DataFrame, percent: int = 85, width: int = 5, k: int =
     listed = member.join(classes.select("class", "sketch"), "class").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
     groups = materialize(listed.groupBy("bucket").applyInArrow(_estimated(k, percent / 100), "g long, class long").distinct(), "groups")
     wanted = groups.select("class").distinct().join(classes.select("class", F.col("k").alias("k2"), F.col("row").alias("r")), "class")
-    sets = base.join(wanted, (F.col("k") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("r"))).select("class", "text").mapInArrow(_full(width), "class long, set binary")
+    sets = base.join(wanted, (F.col("k") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("r"))).select("class", "text").mapInArrow(tidy(_full(width)), "class long, set binary")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups.count() // 2_000))
     shipped = groups.join(sets, "class").withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int"))
     links = materialize(shipped.groupBy("bucket").applyInArrow(_verified(percent), "u long, v long"), "links")

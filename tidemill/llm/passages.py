@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import SPACE, U, Words, buffers, chunks, minimizers, mix, powers, powers_inverse, windows
-from .shared import discard, materialize, trim
+from .shared import discard, materialize, tidy, trim
 
 PIECE = 1 << 20  # units in work at once
 #: A value for each byte, of 64 random-looking bits.
@@ -176,7 +176,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, solver: Solver, crowd: int = 20_
     """
     spark = docs.sparkSession
     # step 1, 2
-    occ = materialize(docs.select("k", "text").where(F.octet_length("text") >= unit.width).mapInArrow(_anchors(unit), "a long, c long, k long, s int, n int"), "anchors")
+    occ = materialize(docs.select("k", "text").where(F.octet_length("text") >= unit.width).mapInArrow(tidy(_anchors(unit)), "a long, c long, k long, s int, n int"), "anchors")
     place = F.xxhash64("k", "s")
     twice = occ.select("a", place.alias("x")).groupBy("a").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo != hi").select("a")
     twice = materialize(twice, "twice")  # read from files, a join with it can split a hot anchor
@@ -189,12 +189,12 @@ def repeated_spans(docs: DataFrame, unit: Unit, solver: Solver, crowd: int = 20_
     firsts = docs.groupBy("k").agg(F.min("doc_id").alias("d"))  # copies of a text would all be asked; one doc_id is
     asked = asked.join(firsts, "k").select("k", "asked", "d")
     texts = docs.join(asked.withColumnRenamed("k", "k2"), (F.col("k") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "asked")
-    cut = materialize(texts.mapInArrow(_cutter(unit), "a long, c long, n int, w int, x binary"), "stretches")
+    cut = materialize(texts.mapInArrow(tidy(_cutter(unit)), "a long, c long, n int, w int, x binary"), "stretches")
     size = cut.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     shards = max(-(-size // shard_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (1 << 20))), 1)
     few = cut.join(crowded, "a", "left_anti").withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int"))
     found = few.groupBy("shard").applyInArrow(_solved(unit, solver), "a long, c long, lo int, hi int")
-    wide = cut.join(crowded, "a", "left_semi").select("a", "c", "n", "w", "x").dropDuplicates(["a", "c"]).mapInArrow(_exploded(unit), "a long, c long, lo int, many int, w long")
+    wide = cut.join(crowded, "a", "left_semi").select("a", "c", "n", "w", "x").dropDuplicates(["a", "c"]).mapInArrow(tidy(_exploded(unit)), "a long, c long, lo int, many int, w long")
     equal = wide.groupBy("w").agg(F.min(F.xxhash64("a", "c", "lo")).alias("x"), F.max(F.xxhash64("a", "c", "lo")).alias("y"), F.max("many").alias("many")).where("x != y OR many > 1").select("w")
     found = found.unionByName(wide.join(equal, "w").select("a", "c", "lo", (F.col("lo") + unit.width).alias("hi")))
     found = materialize(found, "found")
@@ -257,4 +257,4 @@ def cut(docs: DataFrame, unit: Unit, solver: Solver, remove, text: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(0), out], names=["row", into])
 
     joined = rows.join(verdict, "k", "left").select("row", "text", "spans", "copies")
-    return joined.mapInArrow(scan, schema).select("row.*", into)
+    return joined.mapInArrow(tidy(scan), schema).select("row.*", into)

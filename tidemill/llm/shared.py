@@ -7,7 +7,9 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,11 +87,24 @@ def smallest(df: DataFrame, by: str, n: int, total: int) -> DataFrame:
 
 
 def trim() -> None:
-    """Give memory that NumPy freed back to the system, where the C library can: a worker is used for task after task."""
+    """Give memory that Arrow and NumPy freed back to the system, where the C library can: a worker is used for task after task, and waits between them beside the JVM."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def tidy(scan: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A scan of Arrow batches that leaves a small worker behind."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from scan(batches)
+        finally:
+            trim()
+
+    return run
+
+
 def ascii_lower(col):
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
