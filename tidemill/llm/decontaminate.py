@@ -28,6 +28,7 @@ from .flat import LOWER, PUNCT, Sequence, Words, buffers, chunks
 from .shared import discard, materialize, tidy
 
 BLOCK_BYTES = 32 << 20
+SHARD = 2 << 20  # bytes of text in one suffix array, about
 RESULT = "n_words long, n_hit long, n_items long, items array<string>, hits binary, longest long, longest_word long"
 
 
@@ -252,7 +253,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 10, text: str
 def _scanner(sent, text: str, into: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, at in chunks(batch, text):
+            for part, data, at in chunks(batch, text, SHARD):
                 found = _found(data, at, sent.value)
                 rows = [_result(found, row) for row in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, KIND)], names=[*part.schema.names, into])
@@ -265,7 +266,7 @@ def _hitter(sent):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, at in chunks(batch, "text"):
+            for part, data, at in chunks(batch, "text", SHARD):
                 found = _found(data, at, sent.value)
                 rows = np.flatnonzero(found.longest > 0)
                 columns = [part.column(0).take(pa.array(rows)), pa.array([_spans(found, r) for r in rows], pa.binary()), pa.array([sorted(found.items[r]) for r in rows], pa.list_(pa.string())), pa.array(found.longest[rows]), pa.array(found.at[rows])]
@@ -277,7 +278,7 @@ def _hitter(sent):
 def _merger(into: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, at in chunks(batch, "text"):
+            for part, data, at in chunks(batch, "text", SHARD):
                 found = _found(data, at, None)
                 for row, blocks in enumerate(part.column(2).to_pylist()):
                     for x in blocks or ():
@@ -333,7 +334,7 @@ def _matcher(sent):
         kind = pa.null()
         for batch in batches:
             kind = batch.column(0).type
-            for part, data, at in chunks(batch, "text"):
+            for part, data, at in chunks(batch, "text", SHARD):
                 w = Words(LOWER[data], at, PUNCT)
                 if not len(w) or not len(every):
                     continue
