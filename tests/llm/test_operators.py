@@ -169,11 +169,15 @@ def test_a_pair_at_the_threshold_with_few_shared_retained_values_is_linked(spark
         assert {r.component_id for r in near_duplicates(docs, percent=percent, width=1).collect()} == {1}
 
 
-# --- quality ---
+# --- SQL ---
+
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_match_sql(spark, sf, name):
+    same(spark, sf, queries.QUERIES[name], queries.ORACLE_SQL[name])
 
-def test_quality_rules_match_sql(spark, sf):
-    same(spark, sf, queries.QUERIES["op4_quality_rules"], queries.ORACLE_SQL["op4_quality_rules"])
+
+# --- quality ---
 
 
 def test_quality_of_awkward_rows(spark):

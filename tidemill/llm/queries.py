@@ -9,6 +9,7 @@ from . import langid, licences, rules
 from .decontaminate import contamination
 from .mixing import mix
 from .neardup import near_duplicates
+from .oracles import ORACLE_SQL as WHOLE_SQL
 from .quality import ORACLE as QUALITY_SQL
 from .quality import score
 from .shared import table
@@ -86,4 +87,4 @@ QUERIES = {
         op10_substring_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": QUALITY_SQL}
+ORACLE_SQL: dict[str, str] = {**WHOLE_SQL, "op4_quality_rules": QUALITY_SQL}
