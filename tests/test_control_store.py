@@ -48,6 +48,17 @@ def test_constant_values_are_normal(spark):
     assert [(r.level, r["count"]) for r in out] == [("NORMAL", 100)]
 
 
+def test_copies_of_a_history_leave_its_seasonal_mean(spark):
+    histories = {"a": [23.8], "b": [13.3, 21.5], "c": [100.01, 150.02, 119.77], "d": [1e300], "e": [1 / 3], "f": [None], "g": [None, 7.25]}
+    rows = [(k, c, v) for k, vs in histories.items() for c in (1, 7, 60) for v in vs * c]
+    df = spark.createDataFrame([(k, c, 0, v) for k, c, v in rows] + [(k, c, control.HOUR, 0.0) for k in histories for c in (1, 7, 60)], "k string, copies int, ms bigint, x double")
+    out = control.seasonal_mean(df, ["k", "copies"], "ms", "x", "m").where(F.col("ms") > 0).select("k", "copies", "m").collect()
+    got = {(r.k, r.copies): r.m for r in out}
+    exact = {"a": 23.8, "b": 17.4, "c": 36980 / 300, "f": None, "g": 7.25}
+    assert len(got) == 21 and all(got[k, c] == want for k, want in exact.items() for c in (1, 7, 60))
+    assert all(got["d", c] == pytest.approx(1e300, rel=1e-13) and got["e", c] == pytest.approx(1 / 3, rel=1e-15) for c in (1, 7, 60))
+
+
 def test_store_on_disk(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "kv"))
     rows = lambda data: spark.createDataFrame(data, "key string, value string, seq bigint, deleted boolean")

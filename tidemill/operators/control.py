@@ -20,6 +20,7 @@ from .ordered import framed, numbered
 HOUR = 3_600_000
 DAY = 24 * HOUR
 FRAME = 1 << 16  # rows of a block in which frames are computed
+UNITS, EXACT = 1e4, float(1 << 53)  # fractions of one that sums count in; whole doubles under EXACT add up without rounding
 
 
 def framed_by_key(df: DataFrame, keys: list[str], order: list[str], rows: int, compute, block: int = FRAME) -> DataFrame:
@@ -62,14 +63,20 @@ def sliding_stats(df: DataFrame, keys: list[str], order: list[str], x: str, rows
 def seasonal_mean(df: DataFrame, keys: list[str], ms: str, x: str, into: str, season: int = HOUR, reach: int = 60_000, keep: int = DAY) -> DataFrame:
     """df with the mean of x over the key's rows whose time is less than reach away from one season before this row's, and not more than keep before it; null without any.
 
-    Times are cut into blocks of six seasons, each with what it needs of the one before.
+    Times are cut into blocks of six seasons, each with what it needs of the one before. Values are summed as whole units and what is left of them, so the mean of
+    values with up to four decimals is rounded once: neither the order of the rows nor copies of them change it.
     """
     back, long = min(season + reach - 1, keep), 6 * (season + reach)
     own = F.floor(F.col(ms) / long)
     places = F.when(F.pmod(F.col(ms), F.lit(long)) >= long - back, F.array(own, own + 1)).otherwise(F.array(own))
     spread = df.withColumn("_own", own).withColumn("_block", F.explode(places))
     around = Window.partitionBy(*keys, "_block").orderBy(ms).rangeBetween(-back, -season + reach - 1)
-    return spread.withColumn(into, F.avg(x).over(around)).where("_block = _own").drop("_block", "_own")
+    v = F.col(x).cast("double")
+    spread = spread.withColumn("_u", F.when(F.abs(v) < EXACT / UNITS, F.rint(v * UNITS)).otherwise(F.lit(0.0)))
+    spread = spread.withColumn("_r", v - F.col("_u") / UNITS)
+    n = F.count(x).over(around)
+    mean = F.when(n > 0, F.sum("_u").over(around) / (n * UNITS) + F.avg("_r").over(around))
+    return spread.withColumn(into, mean).where("_block = _own").drop("_block", "_own", "_u", "_r")
 
 
 def anomalies(df: DataFrame, keys: list[str], order: list[str], ms: str, x: str, s: st.Sensitivity = st.DEFAULT, rows: int = 1000, keep: int = DAY, block: int = FRAME) -> DataFrame:
